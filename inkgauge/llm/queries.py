@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkgauge.llm import exact, mixing, sharding, simhash
+from inkgauge.llm import exact, langid, lattice, mixing, packing, sharding, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_table(_table(spark, sf_dir, "documents"), end_id=1)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), 40)
 
@@ -25,13 +29,28 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), end_id=0, capacity=2048)
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(_table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sharding, op4_simhash, op5_exact_dedup, op8_mixing)}
+    return {f.__name__: f for f in (
+        op1_token_ids, op3_sharding, op4_simhash, op5_exact_dedup, op6_language_id,
+        op8_mixing, op9_packing, op10_embedding_dedup,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact.EXACT_SQL, "op8_mixing": mixing.MIX_SQL}
+    return {"op5_exact_dedup": exact.EXACT_SQL, "op8_mixing": mixing.MIX_SQL, "op10_embedding_dedup": lattice.NEAR_SQL}
