@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkgauge.llm import exact, kneser, langid, lattice, mixing, packing, sharding, simhash, tokens
+from inkgauge.llm import exact, html, kneser, langid, lattice, mixing, packing, sharding, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(_table(spark, sf_dir, "documents"), end_id=1)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), 40)
 
@@ -49,10 +53,16 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(_table(spark, sf_dir, "embeddings"), 0.98)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_token_ids, op3_sharding, op4_simhash, op5_exact_dedup, op6_language_id,
-        op7_quality, op8_mixing, op9_packing, op10_embedding_dedup,
+        op1_token_ids, op2_html_text, op3_sharding, op4_simhash, op5_exact_dedup, op6_language_id,
+        op7_quality, op8_mixing, op9_packing, op10_embedding_dedup, pipeline,
     )}
 
 
