@@ -20,3 +20,8 @@ def fresh(df: DataFrame, name: str) -> str:
 def word_count(text: Column) -> Column:
     """Number of runs without ASCII white space; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
+
+
+def spread(*keys: str) -> Column:
+    """A number in [0, 1) that depends on the keys, for bounded samples."""
+    return F.pmod(F.xxhash64(*keys), F.lit(1 << 31)) / F.lit(float(1 << 31))

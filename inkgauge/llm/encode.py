@@ -4,21 +4,33 @@ A tokenizer whose normalizer and pre-tokenizer never look across a space gives a
 its space-separated pieces in a row, so a worker asks the library once for each new piece. That
 holds for ``word_bpe_49k.json``: NFC composes nothing with a space, and its pattern has no match
 with white space. Special tokens' strings hold no space either and get the ids the library gives.
+
+Its pattern also parts a run of letters from the ASCII punctuation after it, and it lowers letters
+one by one, so a piece of letters and end punctuation is asked for as its letters in lower case,
+straight from the library's model, and as its punctuation. A vocabulary with other rules is asked
+for whole pieces.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterable, Iterator
+from operator import attrgetter
 
 import numpy as np
 
-#: Pieces that a worker remembers, twice: the newer half and the half before it.
-REMEMBERED = 150_000
+#: Pieces, and runs of letters, that a worker remembers, twice: the newer half and the half before it.
+PIECES, WORDS = 120_000, 100_000
 #: Characters worked on at once.
 SEGMENT = 1 << 20
 VOCABULARY = "word_bpe_49k.json"
 
+_ENDS = ".,!?;:"
+#: Fixed value: the pattern under which letters and punctuation part.
+_LETTER_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ID = attrgetter("id")
+
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
@@ -26,37 +38,91 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, int]:
+    """What byte-level pre-tokenizers write for each byte: itself if it prints, else a letter from U+0100 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in prints]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+_BYTES = byte_letters()
+
+
+def _pack(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
+class _Memory:
+    """What was learned lately: a newer part and an older one."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def recall(self, key: str) -> bytes | None:
+        known = self.new.get(key)
+        if known is None and (known := self.old.get(key)) is not None:
+            self.new[key] = known
+        return known
+
+    def turn(self) -> None:
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
+
+
 class Encoder:
     """ids of texts as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str, pieces: int = PIECES, words: int = WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.remembered = remembered
-        self.new: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+        self.pieces, self.words = _Memory(pieces), _Memory(words)
+        rules = json.loads(self.tokenizer.to_str())
+        kinds = [x.get("type") for x in (rules["normalizer"] or {}).get("normalizers", ())]
+        steps = (rules["pre_tokenizer"] or {}).get("pretokenizers", ())
+        self.by_letters = (
+            kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"]
+            and steps[0]["pattern"].get("Regex") == _LETTER_PATTERN and not steps[1]["add_prefix_space"] and rules["post_processor"] is None
+        )
+        self.model = self.tokenizer.model
+
+    def _letters(self, word: str) -> bytes:
+        """ids of ASCII and Latin-1 letters in lower case, which NFC leaves alone."""
+        if (ids := self.words.recall(word)) is None:
+            text = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+            ids = self.words.new[word] = _pack(list(map(_ID, self.model.tokenize(text))))
+        return ids
 
     def _learn(self, pieces: Iterable[str]) -> None:
-        unknown = []
+        whole = []
         for piece in pieces:
-            if (known := self.old.get(piece)) is None:
-                unknown.append(piece)
+            if self.pieces.recall(piece) is not None:
+                continue
+            word = piece.rstrip(_ENDS)
+            if self.by_letters and word.isalpha() and max(word) < "\u0100":
+                ids, end = self._letters(word.lower()), piece[len(word) :]
+                if end:
+                    if (more := self.words.recall(end)) is None:
+                        more = self.words.new[end] = _pack(self.tokenizer.encode(end, add_special_tokens=False).ids)
+                    ids += more
+                self.pieces.new[piece] = ids
             else:
-                self.new[piece] = known
-        for at in range(0, len(unknown), 4096):
-            part = unknown[at : at + 4096]
+                whole.append(piece)
+        for at in range(0, len(whole), 4096):
+            part = whole[at : at + 4096]
             for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.new[piece] = np.array(found.ids, "<u4").tobytes()
+                self.pieces.new[piece] = _pack(found.ids)
 
     def _segment(self, text: str) -> bytes:
         pieces = text.replace("\n", " ").split(" ")
-        if missing := set(pieces).difference(self.new):
+        if missing := set(pieces).difference(self.pieces.new):
             self._learn(missing)
-        ids = b"".join(map(self.new.__getitem__, pieces))
-        if len(self.new) > self.remembered:
-            self.old, self.new = self.new, {"": b""}
+        ids = b"".join(map(self.pieces.new.__getitem__, pieces))
+        self.pieces.turn()
+        self.words.turn()
         return ids
 
     def encode(self, text: str | None) -> bytes:

@@ -14,11 +14,13 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkgauge.llm.columns import spread
+
 UNKNOWN = "und"
-#: A dictionary's bytes; what it is made of: this many labelled texts (smallest hashes) of at most this many characters.
+#: A dictionary's bytes; what it is made of: this many labelled texts (drawn by hash) of at most this many characters.
 DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_CHARS = 110 * 1024, 400, 8000
 CHUNK = 2048
 #: Texts up to SHORT bytes are compressed at the finer level with matches from three bytes on.
@@ -47,15 +49,17 @@ def train(docs: DataFrame) -> Model:
     Each language gives a bounded sample (see the constants); counts, which only settle ties, are
     over all rows. The driver gets the sample alone.
     """
-    known = docs.where("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("h"))
+    known = docs.where("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), spread("doc_id").alias("u"))
     totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    sample = known.where(F.length("text") <= SAMPLE_CHARS).withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS).collect()
-    texts: dict[str, list[tuple[int, bytes]]] = {lang: [] for lang in totals}
+    drawn = F.lit(False)
+    for lang, n in totals.items():
+        drawn = drawn | ((F.col("lang") == lang) & (F.col("u") < 2 * SAMPLE_DOCS / n))
+    sample = known.where(drawn & (F.length("text") <= SAMPLE_CHARS)).limit(4 * SAMPLE_DOCS * len(totals)).collect()
+    texts: dict[str, list[tuple[float, bytes]]] = {lang: [] for lang in totals}
     for r in sample:
-        texts[r["lang"]].append((r["k"], plain(r["text"])))
+        texts[r["lang"]].append((r["u"], plain(r["text"])))
     languages = sorted((lang for lang in totals if any(t for _, t in texts[lang])), key=lambda x: (-totals[x], x))
-    return Model(languages, [b" ".join(t for _, t in sorted(texts[lang]))[:DICTIONARY_BYTES] for lang in languages])
+    return Model(languages, [b" ".join(t for _, t in sorted(texts[lang])[:SAMPLE_DOCS])[:DICTIONARY_BYTES] for lang in languages])
 
 
 class Scorer:

@@ -20,10 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkgauge.llm.columns import spread
 from inkgauge.llm.encode import encoder, vocabulary_path
 from inkgauge.llm.staging import new_path
 
-#: The dictionary is trained on at most this many documents (smallest hashes) of at most this many characters.
+#: The dictionary is trained on about this many documents (by hash; twice as many at most) of at most this many characters.
 SAMPLE_DOCS, SAMPLE_CHARS = 512, 16_384
 DICTIONARY_BYTES = 64 * 1024
 #: A block ends with the document that brings it to this many payload bytes or documents.
@@ -53,7 +54,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
     """
     spark, vocabulary = docs.sparkSession, vocabulary or vocabulary_path()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = rows.where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()
+    drawn = rows.where((spread("doc_id") < SAMPLE_DOCS / max(1, rows.count())) & (F.length("text") <= SAMPLE_CHARS))
+    sample = drawn.limit(2 * SAMPLE_DOCS).collect()
     tool = encoder(vocabulary)
     kind = "<u2" if max(end_id, tool.tokenizer.get_vocab_size()) < 1 << 16 else "<u4"
     end = np.array([end_id], "<u4").tobytes()
