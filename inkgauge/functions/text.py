@@ -175,11 +175,11 @@ DEFECTS = (
 
 def truth_defects(line: Column) -> Column:
     """Every defect as struct(label, context): the match with 20 characters on either side."""
-    found = []
-    for label, pattern in DEFECTS:
+    def found(label: str, pattern: str) -> Column:
         context = lambda s: F.substring(line, F.greatest(s["start"] - 19, F.lit(1)), s["end"] + 20 - F.greatest(s["start"] - 20, F.lit(0)))
-        found.append(F.transform(regex_spans(line, pattern), lambda s, label=label, context=context: F.struct(F.lit(label).alias("label"), context(s).alias("context"))))
-    return F.concat(*found)
+        return F.transform(regex_spans(line, pattern), lambda s: F.struct(F.lit(label).alias("label"), context(s).alias("context")))
+
+    return F.concat(*[found(*d) for d in DEFECTS])
 
 
 # -- readers' output ------------------------------------------------------------------------------
