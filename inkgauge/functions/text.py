@@ -138,7 +138,7 @@ def regex_spans(c: Column, pattern: str) -> Column:
 
 
 def needs_sara_repair(c: Column) -> Column:
-    return c.contains(SARA_AM + " ") & ~c.contains(SARA_AA)
+    return c.contains(" " + SARA_AM) & ~c.contains(SARA_AA)
 
 
 def repair_sara(c: Column) -> Column:

@@ -121,7 +121,7 @@ _SARA = "regexp_replace(replace(text, 'ำ', ' ำ'), '([ก-ฮ])า', '\\1 า
 
 @query(f"""with {TRUTH_SQL}, s as (select page_id, line_no, {_SARA} as raw from truth)
 select page_id, line_no, regexp_replace(raw, '([ก-ฮ]) า', '\\1ำ', 'g') as joined,
-  case when contains(raw, 'ำ ') and not contains(raw, 'า') then 1 else 0 end as broken,
+  case when contains(raw, ' ำ') and not contains(raw, 'า') then 1 else 0 end as broken,
   replace(replace(replace(raw, ' ำ', '@@'), 'ำ', 'า'), '@@', 'ำ') as repaired from s where not contains(raw, '@@')""")
 def truth_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Split vowels joined again, and the font map undone."""
