@@ -29,6 +29,8 @@ QUANTILE = 0.99
 CAUTION = 2.0
 #: Characters of a block (a longer document is a block of its own) and of what is worked on at once.
 BLOCK_CHARS, SEGMENT_CHARS = 12_000_000, 500_000
+#: At most this many of the most frequent n-grams go to every task, about 20 bytes each; all others go by joins.
+COMMON = 1 << 18
 
 _START = "\x02"
 _MIX = np.random.default_rng(7).integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
@@ -106,7 +108,7 @@ def document_blocks(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
         def row() -> pa.RecordBatch:
             data = [t.encode("utf-8", "surrogatepass") for t in texts]
-            values = [(part << 32) + block, *map(list, zip(*rows)), [len(d) for d in data], press.compress(b"".join(data)), _counted(texts, order)[0]]
+            values = [(part << 32) + block, *map(list, zip(*rows)), [len(d) for d in data], press.compress(b"".join(data)), sorted(_counted(texts, order)[0])]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string())]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], [f.split()[0] for f in BLOCKS.split(", ")])
 
@@ -125,7 +127,7 @@ def document_blocks(docs: DataFrame, order: int = ORDER) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     made = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.xxhash64(text).alias("tag"), text.alias("text")).mapInArrow(run, BLOCKS)
     name = f"blocks_{uuid.uuid4().hex}"
-    made.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "bid").option("path", new_path(spark, "blocks")).option("compression", "uncompressed").saveAsTable(name)
+    made.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "bid").option("path", new_path(spark, "blocks")).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 
@@ -199,28 +201,70 @@ def probabilities(wanted: DataFrame, orders: list[Order]) -> DataFrame:
     return lower
 
 
+def common_grams(grams: DataFrame, most: int = COMMON) -> DataFrame:
+    """The most frequent n-grams of the model, by a count from which on there are at most ``most``."""
+    step = F.floor(F.log2("c") * 8)
+    by_step = grams.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("step")).collect()
+    total, least = 0, None  # a few hundred rows at most
+    for r in by_step:
+        total += r["n"]
+        if total > most:
+            break
+        least = r["least"]
+    return grams.where(F.lit(False) if least is None else F.col("c") >= least).select("g")
+
+
+def _keys(grams: list[str], order: int) -> np.ndarray:
+    codes = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, order)
+    keys = np.zeros(len(codes), np.uint64)
+    for k in range(order):
+        keys += codes[:, k].astype(np.uint64) * _MIX[k]
+    return keys
+
+
+def _sorted(grams: list[str], logp: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    keys = _keys(grams, order)
+    by = np.argsort(keys)
+    return keys[by], np.asarray(logp, np.float64)[by]
+
+
 def block_scores(blocks: DataFrame, orders: list[Order]) -> DataFrame:
-    """doc_id, lang, tag, n_chars, mean and score of every row of the blocks."""
+    """doc_id, lang, tag, n_chars, mean and score of every row of the blocks.
+
+    Blocks ask for their own n-grams, but for those that are common everywhere, which every task has.
+    """
     order = len(orders)
-    asked = blocks.select("bid", F.explode("grams").alias("g"))
-    p = probabilities(stage(asked.select("g").distinct(), "wanted"), orders)
-    answers = asked.join(p.select("g", F.log("p").cast("float").alias("logp")), "g").select(F.col("bid").alias("to"), "g", "logp")
+    common = stage(common_grams(orders[-1].counts), "common")
+    asked = blocks.select("bid", F.explode("grams").alias("g")).join(F.broadcast(common), "g", "left_anti")  # COMMON rows at most
+    p = probabilities(stage(asked.select("g").unionByName(common).distinct(), "wanted"), orders)
+    logp = F.log("p").cast("float").alias("logp")
+    known = p.join(F.broadcast(common), "g", "left_semi").select("g", logp).toPandas()
+    everywhere = blocks.sparkSession.sparkContext.broadcast(_sorted(known["g"].tolist(), known["logp"], order))
+    answers = asked.join(p.select("g", logp), "g").select(F.col("bid").alias("to"), "g", "logp")
     schema = "doc_id long, lang string, tag long, n_chars long, mean double, score double"
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = left.iloc[0]
         texts = _open(row["payload"], row["sizes"])
-        codes = np.frombuffer("".join(right["g"]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, order)
-        keys = np.zeros(len(codes), np.uint64)
-        for k in range(order):
-            keys += codes[:, k].astype(np.uint64) * _MIX[k]
-        by = np.argsort(keys)
-        keys, logp = keys[by], right["logp"].to_numpy(np.float64)[by]
+        keys, logp = _sorted(right["g"].tolist(), right["logp"], order)
+        common, common_logp = everywhere.value
+
+        def look(hashes: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(hashes))
+            there = np.zeros(len(hashes), bool)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+                there = common[at] == hashes
+                out[there] = common_logp[at[there]]
+            if not there.all():
+                out[~there] = logp[np.searchsorted(keys, hashes[~there])]
+            return out
+
         total, square = np.zeros(len(texts)), np.zeros(len(texts))
         for a, b in _segments(texts):
             _, _, hashes, owner = _windows(texts[a:b], order)
             if len(hashes):
-                v = -logp[np.searchsorted(keys, hashes)]
+                v = -look(hashes)
                 total[a:b] = np.bincount(owner, v, b - a)
                 square[a:b] = np.bincount(owner, v * v, b - a)
         n = np.fromiter(map(len, texts), np.int64, len(texts))
