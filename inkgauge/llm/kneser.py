@@ -56,13 +56,6 @@ def _windows(texts: list[str], order: int) -> tuple[str, np.ndarray, np.ndarray,
     return joined, start, _hashes(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4"), order)[start], owner
 
 
-def _distinct(texts: list[str], order: int) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Hash, text and count of the distinct n-grams of some texts."""
-    joined, start, hashes, _ = _windows(texts, order)
-    found, first, counts = np.unique(hashes, return_index=True, return_counts=True)
-    return found, [joined[i : i + order] for i in start[first].tolist()], counts
-
-
 def _segments(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about SEGMENT_CHARS characters together."""
     at, held = 0, 0
@@ -76,16 +69,19 @@ def _segments(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def _counted(texts: list[str], order: int) -> tuple[list[str], np.ndarray]:
-    """The distinct n-grams of any number of texts, with counts, a segment at a time."""
-    hashes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    grams: dict[int, str] = {}
+    """The distinct n-grams of any number of texts, with counts, a segment at a time; only n-grams that are new are cut out."""
+    hashes, counts, grams = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
     for a, b in _segments(texts):
-        h, g, c = _distinct(texts[a:b], order)
-        grams.update(zip(h.tolist(), g))
-        both = np.concatenate((hashes, h))
-        hashes, place = np.unique(both, return_inverse=True)
-        counts = np.bincount(place, np.concatenate((counts, c)), len(hashes)).astype(np.int64)
-    return [grams[h] for h in hashes.tolist()], counts
+        joined, start, found, _ = _windows(texts[a:b], order)
+        h, first, c = np.unique(found, return_index=True, return_counts=True)
+        at = np.searchsorted(hashes, h)
+        known = np.zeros(len(h), bool)
+        inside = at < len(hashes)
+        known[inside] = hashes[at[inside]] == h[inside]
+        counts[at[known]] += c[known]
+        new = np.array([joined[i : i + order] for i in start[first[~known]].tolist()], object)
+        hashes, counts, grams = (np.insert(old, at[~known], more) for old, more in ((hashes, h[~known]), (counts, c[~known]), (grams, new)))
+    return grams.tolist(), counts
 
 
 def _open(payload: bytes, sizes: np.ndarray) -> list[str]:
