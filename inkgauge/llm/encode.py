@@ -5,31 +5,32 @@ its space-separated pieces in a row, so a worker asks the library once for each
 holds for ``word_bpe_49k.json``: NFC composes nothing with a space, and its pattern has no match
 with white space. Special tokens' strings hold no space either and get the ids the library gives.
 
-Its pattern also parts a run of letters from the ASCII punctuation after it, and it lowers letters
-one by one, so a piece of letters and end punctuation is asked for as its letters in lower case,
-straight from the library's model, and as its punctuation. A vocabulary with other rules is asked
-for whole pieces.
+Its pattern also parts letters from all else, but for contractions after an apostrophe, and it
+lowers letters one by one. So a text of Latin-1 characters without apostrophes, none of which NFC
+changes, is taken apart into runs of letters, which go straight to the library's model, and runs of
+others. Other texts, and other vocabularies, are asked for by whole pieces.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
-from operator import attrgetter
 
-import numpy as np
-
-#: Pieces, and runs of letters, that a worker remembers, twice: the newer half and the half before it.
-PIECES, WORDS = 120_000, 100_000
+#: Pieces, and runs, that a worker remembers, twice: the newer half and the half before it.
+PIECES, WORDS = 60_000, 300_000
 #: Characters worked on at once.
 SEGMENT = 1 << 20
 VOCABULARY = "word_bpe_49k.json"
 
-_ENDS = ".,!?;:"
+#: Latin-1 letters in lower case, or what is between them but spaces and line feeds.
+_LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
+_RUNS = re.compile(f"[{_LETTERS}]+|[^ \n{_LETTERS}]+")
 #: Fixed value: the pattern under which letters and punctuation part.
 _LETTER_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_ID = attrgetter("id")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -49,7 +50,18 @@ _BYTES = byte_letters()
 
 
 def _pack(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
+def _is_latin1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class _Memory:
@@ -60,12 +72,6 @@ class _Memory:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def recall(self, key: str) -> bytes | None:
-        known = self.new.get(key)
-        if known is None and (known := self.old.get(key)) is not None:
-            self.new[key] = known
-        return known
-
     def turn(self) -> None:
         if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
@@ -89,40 +95,39 @@ class Encoder:
         )
         self.model = self.tokenizer.model
 
-    def _letters(self, word: str) -> bytes:
-        """ids of ASCII and Latin-1 letters in lower case, which NFC leaves alone."""
-        if (ids := self.words.recall(word)) is None:
-            text = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
-            ids = self.words.new[word] = _pack(list(map(_ID, self.model.tokenize(text))))
-        return ids
-
-    def _learn(self, pieces: Iterable[str]) -> None:
-        whole = []
+    def _learn_runs(self, runs: Iterable[str]) -> None:
+        new, old, tokenize = self.words.new, self.words.old, self.model.tokenize
+        for run in runs:
+            ids = old.get(run)
+            if ids is None:
+                if run.isalpha():
+                    text = run if run.isascii() else run.encode().decode("latin-1").translate(_BYTES)
+                    ids = _pack([t.id for t in tokenize(text)])
+                else:
+                    ids = _pack(self.tokenizer.encode(run, add_special_tokens=False).ids)
+            new[run] = ids
+
+    def _learn_pieces(self, pieces: Iterable[str]) -> None:
+        new, old, unknown = self.pieces.new, self.pieces.old, []
         for piece in pieces:
-            if self.pieces.recall(piece) is not None:
-                continue
-            word = piece.rstrip(_ENDS)
-            if self.by_letters and word.isalpha() and max(word) < "\u0100":
-                ids, end = self._letters(word.lower()), piece[len(word) :]
-                if end:
-                    if (more := self.words.recall(end)) is None:
-                        more = self.words.new[end] = _pack(self.tokenizer.encode(end, add_special_tokens=False).ids)
-                    ids += more
-                self.pieces.new[piece] = ids
+            if (ids := old.get(piece)) is None:
+                unknown.append(piece)
             else:
-                whole.append(piece)
-        for at in range(0, len(whole), 4096):
-            part = whole[at : at + 4096]
+                new[piece] = ids
+        for at in range(0, len(unknown), 4096):
+            part = unknown[at : at + 4096]
             for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.pieces.new[piece] = _pack(found.ids)
+                new[piece] = _pack(found.ids)
 
     def _segment(self, text: str) -> bytes:
-        pieces = text.replace("\n", " ").split(" ")
-        if missing := set(pieces).difference(self.pieces.new):
-            self._learn(missing)
-        ids = b"".join(map(self.pieces.new.__getitem__, pieces))
-        self.pieces.turn()
-        self.words.turn()
+        if self.by_letters and "'" not in text and "<|" not in text and _is_latin1(text):
+            parts, memory, learn = _RUNS.findall(text.lower()), self.words, self._learn_runs
+        else:
+            parts, memory, learn = text.replace("\n", " ").split(" "), self.pieces, self._learn_pieces
+        if missing := set(parts).difference(memory.new):
+            learn(missing)
+        ids = b"".join(map(memory.new.__getitem__, parts))
+        memory.turn()
         return ids
 
     def encode(self, text: str | None) -> bytes:
