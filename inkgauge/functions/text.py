@@ -129,9 +129,15 @@ def regex_spans(c: Column, pattern: str) -> Column:
     """Every match as struct(start, end, text), positions in characters; for patterns that match no empty text."""
     found = F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1))
     between = F.split(c, pattern, -1)
-    before = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
-    each = lambda x, i: F.struct((before(between, i + 1) + before(found, i)).alias("start"), (before(between, i + 1) + before(found, i + 1)).alias("end"), x.alias("text"))
-    return F.transform(found, each)
+    steps = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, t: F.struct(F.length(b).alias("gap"), t.alias("text")))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("spans"))
+
+    def step(acc: Column, s: Column) -> Column:
+        start = acc["at"] + s["gap"]
+        end = start + F.length(s["text"])
+        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), s["text"].alias("text")))).alias("spans"))
+
+    return F.aggregate(steps, zero, step, lambda acc: acc["spans"])
 
 
 # -- ground truth -------------------------------------------------------------------------------
