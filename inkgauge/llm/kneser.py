@@ -90,7 +90,7 @@ def _open(payload: bytes, sizes: np.ndarray) -> list[str]:
     return [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *ends], ends)]
 
 
-def document_blocks(docs: DataFrame, order: int = ORDER) -> DataFrame:
+def document_blocks(docs: DataFrame, order: int = ORDER, name: str | None = None) -> DataFrame:
     """The rows of ``docs`` in blocks, each with its texts compressed and its distinct n-grams.
 
     Written as a table bucketed by block, so that later joins on the block move only their other side.
@@ -122,7 +122,7 @@ def document_blocks(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     made = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.xxhash64(text).alias("tag"), text.alias("text")).mapInArrow(run, BLOCKS)
-    name = f"blocks_{uuid.uuid4().hex}"
+    name = name or f"blocks_{uuid.uuid4().hex}"
     made.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "bid").option("path", new_path(spark, "blocks")).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
@@ -137,14 +137,14 @@ def gram_counts(blocks: DataFrame, trusted: DataFrame, order: int = ORDER) -> Da
     """g and c: the n-grams of the trusted documents that train, with counts."""
     places = blocks.select("bid", F.posexplode("doc_id").alias("pos", "doc_id")).join(trusted.where("train"), "doc_id").select(F.col("bid").alias("in"), "pos")
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"g": pd.Series([], dtype=object), "c": pd.Series([], dtype="int64")})
-        texts = _open(left["payload"].iloc[0], left["sizes"].iloc[0])
-        grams, counts = _counted([texts[i] for i in right["pos"].tolist()], order)
-        return pd.DataFrame({"g": grams, "c": counts})
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        grams, counts = [], np.zeros(0, np.int64)
+        if left.num_rows and right.num_rows:
+            texts = _open(left["payload"][0].as_py(), np.array(left["sizes"][0].as_py(), np.int64))
+            grams, counts = _counted([texts[i] for i in right["pos"].to_pylist()], order)
+        return pa.table({"g": pa.array(grams, pa.string()), "c": pa.array(counts, pa.int64())})
 
-    parts = blocks.select("bid", "sizes", "payload").groupBy("bid").cogroup(places.groupBy("in")).applyInPandas(run, "g string, c long")
+    parts = blocks.select("bid", "sizes", "payload").groupBy("bid").cogroup(places.groupBy("in")).applyInArrow(run, "g string, c long")
     return stage(parts.groupBy("g").agg(F.sum("c").alias("c")), "grams")
 
 
@@ -283,9 +283,11 @@ def quality_report(docs: DataFrame, labels: DataFrame, order: int = ORDER, quant
     tables; other columns are ignored. ``labels`` may name a document several times; null labels
     don't make it trusted.
     """
-    blocks = document_blocks(docs, order)
+    name = f"blocks_{uuid.uuid4().hex}"
+    blocks = document_blocks(docs, order, name)
     trusted = stage(trusted_ids(labels), "trusted")
     scores = block_scores(blocks, model(gram_counts(blocks, trusted, order), order))
+    docs.sparkSession.sql(f"drop table {name}")  # the catalog's entry; what was read of it is staged
     judged = scores.join(trusted.where("not train"), "doc_id", "left_semi").where("score is not null")
     cut = F.percentile_approx("score", F.lit(quantile), F.lit(10_000)).alias("threshold")
     by_lang = judged.groupBy(F.col("lang").alias("_lang")).agg(cut)
