@@ -16,14 +16,13 @@ from inkgauge.functions.edits import distance, partial_ratio, similarity, split_
 THRESHOLD, WINDOW, GROUP, LONGER = 0.45, 80.0, 0.7, 1.3
 
 
-def cheap_distance(a: Column, b: Column, first: int = 64, last: int = 4096) -> Column:
+def cheap_distance(a: Column, b: Column, first: int = 32, last: int = 16_384) -> Column:
     """``levenshtein``, at a cost that follows the distance: equal texts cost nothing, and the band around the diagonal is widened only until the distance fits."""
-    found = F.levenshtein(a, b)
-    band = last
-    while band >= first:
-        found = F.when(F.levenshtein(a, b, band) >= 0, F.levenshtein(a, b, band)).otherwise(found)
-        band //= 8
-    return F.when(a == b, 0).otherwise(found).cast("long")
+    bands, band = [], first
+    while band <= last:
+        bands.append(F.nullif(F.levenshtein(a, b, band), F.lit(-1)))
+        band *= 8
+    return F.when(a == b, 0).otherwise(F.coalesce(*bands, F.levenshtein(a, b))).cast("long")
 
 
 def text_similarity(a: Column, b: Column) -> Column:
