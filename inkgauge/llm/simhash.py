@@ -251,12 +251,14 @@ def word_groups(docs: DataFrame, radius: int = 4, seeds: tuple[int, ...] = SEEDS
     for k in range(len(seeds)):
         node = lambda fp, k=k: F.xxhash64(F.lit(k), F.col(fp))
         own = classes.select(F.col("class").alias("u"), F.col("fps")[k].alias("fp"))
-        links = fingerprint_links(own.select("fp").distinct(), radius).select(node("u").alias("u"), node("v").alias("v"))
-        # a class alone with its fingerprint needs that node only where the fingerprint has links
-        links = links.unionByName(own.select("u", node("fp").alias("v")))
+        found = fingerprint_links(own.select("fp").distinct(), radius)
+        # only classes whose fingerprint has a link or another class need its node; all others stay out of the graph
+        shared = own.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+        active = shared.unionByName(found.select(F.col("u").alias("fp"))).unionByName(found.select(F.col("v").alias("fp"))).distinct()
+        links = found.select(node("u").alias("u"), node("v").alias("v")).unionByName(own.join(active, "fp", "left_semi").select("u", node("fp").alias("v")))
         edges = links if edges is None else edges.unionByName(links)
     roots = connected_components(edges).withColumnRenamed("node", "class")
-    return rows.join(roots, "class").select("doc_id", "tag", "root")
+    return rows.join(roots, "class", "left").select("doc_id", "tag", F.coalesce("root", "class").alias("root"))
 
 
 def near_dedup(docs: DataFrame, radius: int = 4, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
