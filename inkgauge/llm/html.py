@@ -13,20 +13,23 @@ or passage on several pages, and its text is main text on each of them.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkgauge.llm.staging import stage
+
 #: Tokens that a repeated run must have, and the part of a block's tokens that such runs must cover.
 MIN_RUN, COVERED = 8, 0.8
 #: Pages of a host that are compared with each other; larger hosts are dealt out in groups of about this size.
 GROUP_PAGES = 512
-#: Hosts whose sizes are looked up; all others have fewer than 1/BUSY_HOSTS of the pages.
-BUSY_HOSTS = 1000
+#: No hashes.
+NONE = np.zeros(0, np.int64)
 
 ARTICLE, OPEN, NEVER = 0, 1, 2
 
@@ -165,8 +168,22 @@ def suffix_order(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return np.argsort(rank, kind="stable"), rank
 
 
-def repeated(pages: list[list[str]], min_run: int = MIN_RUN) -> list[list[bool]]:
-    """For each page's tokens, whether a run of at least ``min_run`` of them that covers the token is on another page too."""
+def window_hashes(words: list[str], width: int, salt: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``width`` words, with ``salt`` mixed in."""
+    digests = np.fromiter((xxhash.xxh64_intdigest(w, salt) for w in words), np.uint64, len(words))
+    n = len(words) - width + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for k in range(width if n > 0 else 0):
+        out = (out ^ digests[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def repeated(pages: list[list[str]], min_run: int = MIN_RUN, elsewhere: np.ndarray = NONE, salt: int = 0) -> list[list[bool]]:
+    """For each page's tokens, whether a run of at least ``min_run`` of them that covers the token is on another page too.
+
+    ``elsewhere`` has the ``window_hashes`` of runs that pages not given here hold.
+    """
     ids: dict[str, int] = {}
     stream, owner = [], []
     for p, words in enumerate(pages):
@@ -180,6 +197,12 @@ def repeated(pages: list[list[str]], min_run: int = MIN_RUN) -> list[list[bool]]
     starts = np.flatnonzero(np.append(True, rank[order][1:] != rank[order][:-1]))
     low, high = np.minimum.reduceat(page[order], starts), np.maximum.reduceat(page[order], starts)
     shared = (low != high)[rank]
+    if len(elsewhere):
+        at = 0
+        for words in pages:
+            hashes = window_hashes(words, min_run, salt)
+            shared[at : at + len(hashes)] |= np.isin(hashes, elsewhere)
+            at += len(words) + min_run
     edge = np.zeros(len(tokens) + min_run, np.int64)
     np.add.at(edge, np.flatnonzero(shared), 1)
     np.add.at(edge, np.flatnonzero(shared) + min_run, -1)
@@ -191,10 +214,14 @@ def repeated(pages: list[list[str]], min_run: int = MIN_RUN) -> list[list[bool]]
     return out
 
 
-def main_texts(pages: list[list[tuple[int, str]]], min_run: int = MIN_RUN, covered: float = COVERED) -> list[str]:
-    """The main text of each of a host's pages, given as blocks."""
-    streams = [[w for kind, text in blocks if kind != ARTICLE for w in text.split()] for blocks in pages]
-    marks = repeated(streams, min_run)
+def outside_words(blocks: list[tuple[int, str]]) -> list[str]:
+    """The page's token stream: the words of the blocks outside the article."""
+    return [w for kind, text in blocks if kind != ARTICLE for w in text.split()]
+
+
+def main_texts(pages: list[list[tuple[int, str]]], min_run: int = MIN_RUN, covered: float = COVERED, elsewhere: np.ndarray = NONE, salt: int = 0) -> list[str]:
+    """The main text of each of a host's pages, given as blocks; ``elsewhere`` as in ``repeated``."""
+    marks = repeated([outside_words(blocks) for blocks in pages], min_run, elsewhere, salt)
     out = []
     for blocks, mark in zip(pages, marks):
         kept, at = [], 0
@@ -217,7 +244,7 @@ def host_of(url: F.Column) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def extract(pages: DataFrame, min_run: int = MIN_RUN, covered: float = COVERED) -> DataFrame:
+def extract(pages: DataFrame, min_run: int = MIN_RUN, covered: float = COVERED, group_pages: int = GROUP_PAGES) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars (code points).
 
     Blocks are in page order, joined by a line feed, with white space inside a block made one space.
@@ -225,37 +252,66 @@ def extract(pages: DataFrame, min_run: int = MIN_RUN, covered: float = COVERED)
     group of their own. Repeated rows stay repeated; their blocks outside an article count as
     repeated on the host. Broken markup is read as far as it goes. An empty table gives an empty
     table; other columns are ignored. A group holds at most a few hundred pages, so a host of any
-    size is spread over tasks.
+    size is spread over tasks; for hosts of several groups a first pass counts each run's pages over
+    all groups of the host and tells the groups which of their runs another group has.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("host", host_of(F.col("url")))
-    busy = rows.groupBy("host").count().orderBy(F.desc("count"), "host").limit(BUSY_HOSTS)
-    groups = busy.select("host", F.ceil(F.col("count") / GROUP_PAGES).cast("int").alias("groups"))
-    dealt = (
-        rows.join(F.broadcast(groups), "host", "left")  # BUSY_HOSTS rows
+    large = rows.groupBy("host").count().where(F.col("count") > group_pages)
+    groups = stage(large.select("host", F.ceil(F.col("count") / group_pages).cast("int").alias("groups")), "large-hosts")
+    placed = (
+        rows.join(F.broadcast(groups), "host", "left")  # one row for each group_pages pages at most
         .withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))).cast("int"))
-        .select("host", "part", "page_id", "url", "html")
-        .repartition("host", "part").sortWithinPartitions("host", "part", "page_id")
     )
+    known = F.lit(None).cast("array<long>").alias("known")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, urls, held = None, [], [], []
-
-        def told() -> pa.RecordBatch:
-            texts = main_texts(held, min_run, covered)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition("host", "part").sortWithinPartitions("host", "part", F.desc(F.col("known").isNotNull()), "page_id")
 
+    def by_group(batches: Iterator[pa.RecordBatch], tell: Callable[..., pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, urls, held, told = None, [], [], [], NONE
         for batch in batches:
-            for host, part, page_id, url, html in zip(*(batch.column(i) for i in range(5))):
+            for host, part, page_id, url, html, known in zip(*(batch.column(i) for i in range(6))):
                 here = (host.as_py(), part.as_py())
-                if ids and (here != key or len(ids) >= 2 * GROUP_PAGES):
-                    yield told()
+                if ids and (here != key or len(ids) >= 2 * group_pages):
+                    yield tell(key, ids, urls, held, told)
                     ids, urls, held = [], [], []
-                key = here
+                if here != key:
+                    key, told = here, NONE
+                if known.is_valid:
+                    told = np.asarray(known.values.to_numpy(), np.int64)
+                    continue
                 ids.append(page_id.as_py())
                 urls.append(url.as_py())
                 held.append(page_blocks(html.as_py()))
         if ids:
-            yield told()
+            yield tell(key, ids, urls, held, told)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tell(key, ids, urls, held, told):
+            own = [np.unique(window_hashes(outside_words(blocks), min_run, _salt(key[0]))) for blocks in held]
+            hashes, n = np.unique(np.concatenate(own), return_counts=True)
+            k = len(hashes)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * k, pa.string()), pa.array([key[1]] * k, pa.int32()), pa.array(hashes, pa.int64()), pa.array(n, pa.int64())], ["host", "part", "hash", "n"])
+
+        return by_group(batches, tell)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tell(key, ids, urls, held, told):
+            texts = main_texts(held, min_run, covered, told, _salt(key[0]))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+        return by_group(batches, tell)
+
+    every = placed.select("host", "part", "page_id", "url", "html", known)
+    if not groups.isEmpty():
+        counted = dealt(placed.where("groups is not null").select("host", "part", "page_id", "url", "html", known)).mapInArrow(count, "host string, part int, hash long, n long")
+        # a group's rows of one run are as many as the times it was told off: few, and never one per page
+        over = counted.withColumn("total", F.sum("n").over(Window.partitionBy("hash", "host"))).where("n = 1 and total > 1")
+        tell = over.groupBy("host", "part").agg(F.sort_array(F.collect_set("hash")).alias("known"))
+        every = every.unionByName(tell, allowMissingColumns=True)
+    return dealt(every).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+
 
-    return dealt.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+def _salt(host: str) -> int:
+    return xxhash.xxh64_intdigest(host) >> 1

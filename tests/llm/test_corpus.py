@@ -179,6 +179,16 @@ def test_pages_query_against_plain_reading(spark, sf_dir):
     assert sorted(r["text"] for r in html.extract(odd).collect()) == ["", "", "a"] and html.extract(pages.limit(0)).count() == 0
 
 
+def test_runs_are_found_across_groups_of_a_large_host(spark):
+    line = "<div>only two pages of this whole host carry this very line of text</div>"
+    data = [(k, f"http://big.example/{k}", f"<body>{line if k in (3, 60) else ''}<p>{' '.join(f'w{k}x{i}' for i in range(12))}</p>") for k in range(80)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    whole = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    for size in (40, 8, 1):
+        assert {r["page_id"]: r["text"] for r in html.extract(pages, group_pages=size).collect()} == whole
+    assert len(whole) == 80 and all("carry" not in x for x in whole.values())
+
+
 # -- sharding, exact copies, mixing --------------------------------------------------------------------------
 
 
