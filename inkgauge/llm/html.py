@@ -6,13 +6,15 @@ notices, adverts, comments, known by tag, role, class or id), or in neither. The
 article form the page's token stream. The streams of a host's pages are joined, and the joined
 stream's suffixes are sorted by doubling; neighbours with a long common prefix on different pages
 are text that the host repeats. Undecided blocks that such runs cover go, the rest is unique to its
-page and stays. Blocks of an article aren't judged by repetition: a host may carry the same article
-or passage on several pages, and its text is main text on each of them.
+page and stays; beside an article only if it is as long as a run and the host has pages to compare.
+A block of an article goes if it is on half of a host's pages or more and such blocks are the
+smaller part of the article; what fewer pages share (an article or passage on several) is main text.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -28,6 +30,8 @@ from inkgauge.llm.staging import stage
 MIN_RUN, COVERED = 8, 0.8
 #: Pages of a host that are compared with each other; larger hosts are dealt out in groups of about this size.
 GROUP_PAGES = 512
+#: An article's block goes if it is on this share of a host's pages, the host has so many pages and the block so many words.
+USUAL, MIN_PAGES, MIN_WORDS = 0.5, 8, 3
 #: No hashes.
 NONE = np.zeros(0, np.int64)
 
@@ -219,21 +223,48 @@ def outside_words(blocks: list[tuple[int, str]]) -> list[str]:
     return [w for kind, text in blocks if kind != ARTICLE for w in text.split()]
 
 
-def main_texts(pages: list[list[tuple[int, str]]], min_run: int = MIN_RUN, covered: float = COVERED, elsewhere: np.ndarray = NONE, salt: int = 0) -> list[str]:
-    """The main text of each of a host's pages, given as blocks; ``elsewhere`` as in ``repeated``."""
+def article_hashes(blocks: list[tuple[int, str]], salt: int) -> list[int]:
+    """Hashes of the article's blocks, 0 for those of too few words to be judged."""
+    texts = [text for kind, text in blocks if kind == ARTICLE]
+    return [_signed(xxhash.xxh64_intdigest(t, salt ^ 1)) if t.count(" ") + 1 >= MIN_WORDS else 0 for t in texts]
+
+
+def usual(n: int, pages: int) -> bool:
+    """Whether a block on ``n`` of a host's ``pages`` pages belongs to the host rather than to its articles."""
+    return pages >= MIN_PAGES and n >= USUAL * pages
+
+
+def main_texts(pages: list[list[tuple[int, str]]], min_run: int = MIN_RUN, covered: float = COVERED, elsewhere: np.ndarray = NONE, salt: int = 0, host_pages: int | None = None) -> list[str]:
+    """The main text of each of a host's pages, given as blocks.
+
+    Of a host of more pages than those given, ``host_pages`` is their number and ``elsewhere`` has the hashes of runs
+    (as in ``repeated``) and of usual article blocks, which only all pages together tell.
+    """
     marks = repeated([outside_words(blocks) for blocks in pages], min_run, elsewhere, salt)
+    hashes = [article_hashes(blocks, salt) for blocks in pages]
+    total = len(pages) if host_pages is None else host_pages
+    if host_pages is None:
+        counts = Counter(h for own in hashes for h in set(own))
+        chrome = {h for h, n in counts.items() if h and usual(n, total)}
+    else:
+        chrome = set(elsewhere[np.isin(elsewhere, np.array([h for own in hashes for h in own if h], np.int64))].tolist())
     out = []
-    for blocks, mark in zip(pages, marks):
-        kept, at = [], 0
-        has_article = any(kind == ARTICLE for kind, _ in blocks)
+    for blocks, mark, own in zip(pages, marks, hashes):
+        words = [len(text.split()) for kind, text in blocks if kind == ARTICLE]
+        gone = [h in chrome for h in own]
+        if 2 * sum(n for n, g in zip(words, gone) if g) > sum(words):  # a copy of an article, not a frame around one
+            gone = [False] * len(own)
+        kept, at, k = [], 0, 0
         for kind, text in blocks:
             if kind == ARTICLE:
-                kept.append(text)
+                if not gone[k]:
+                    kept.append(text)
+                k += 1
                 continue
             n = len(text.split())
             part = sum(mark[at : at + n]) / n
             at += n
-            if kind == OPEN and not has_article and part < covered:
+            if kind == OPEN and part < covered and (not own or total >= MIN_PAGES and n >= min_run):
                 kept.append(text)
         out.append("\n".join(kept))
     return out
@@ -249,16 +280,16 @@ def extract(pages: DataFrame, min_run: int = MIN_RUN, covered: float = COVERED,
 
     Blocks are in page order, joined by a line feed, with white space inside a block made one space.
     A null or empty page, or one without main text, has an empty text. Pages without a host form a
-    group of their own. Repeated rows stay repeated; their blocks outside an article count as
-    repeated on the host. Broken markup is read as far as it goes. An empty table gives an empty
+    group of their own. Repeated rows stay repeated and count as
+    pages of the host. Broken markup is read as far as it goes. An empty table gives an empty
     table; other columns are ignored. A group holds at most a few hundred pages, so a host of any
-    size is spread over tasks; for hosts of several groups a first pass counts each run's pages over
-    all groups of the host and tells the groups which of their runs another group has.
+    size is spread over tasks; for hosts of several groups a first pass counts the pages of each run and article block over
+    all groups of the host and tells the groups what they can't see alone.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("host", host_of(F.col("url")))
     large = rows.groupBy("host").count().where(F.col("count") > group_pages)
-    groups = stage(large.select("host", F.ceil(F.col("count") / group_pages).cast("int").alias("groups")), "large-hosts")
+    groups = stage(large.select("host", F.ceil(F.col("count") / group_pages).cast("int").alias("groups"), F.col("count").alias("pages")), "large-hosts")
     placed = (
         rows.join(F.broadcast(groups), "host", "left")  # one row for each group_pages pages at most
         .withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))).cast("int"))
@@ -269,49 +300,61 @@ def extract(pages: DataFrame, min_run: int = MIN_RUN, covered: float = COVERED,
         return df.repartition("host", "part").sortWithinPartitions("host", "part", F.desc(F.col("known").isNotNull()), "page_id")
 
     def by_group(batches: Iterator[pa.RecordBatch], tell: Callable[..., pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, urls, held, told = None, [], [], [], NONE
+        key, ids, urls, held, told, total = None, [], [], [], NONE, None
         for batch in batches:
-            for host, part, page_id, url, html, known in zip(*(batch.column(i) for i in range(6))):
+            for host, part, page_id, url, html, pages, known in zip(*(batch.column(i) for i in range(7))):
                 here = (host.as_py(), part.as_py())
                 if ids and (here != key or len(ids) >= 2 * group_pages):
-                    yield tell(key, ids, urls, held, told)
+                    yield tell(key, ids, urls, held, told, total)
                     ids, urls, held = [], [], []
                 if here != key:
                     key, told = here, NONE
                 if known.is_valid:
                     told = np.asarray(known.values.to_numpy(), np.int64)
                     continue
+                total = pages.as_py()
                 ids.append(page_id.as_py())
                 urls.append(url.as_py())
                 held.append(page_blocks(html.as_py()))
         if ids:
-            yield tell(key, ids, urls, held, told)
+            yield tell(key, ids, urls, held, told, total)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tell(key, ids, urls, held, told):
-            own = [np.unique(window_hashes(outside_words(blocks), min_run, _salt(key[0]))) for blocks in held]
-            hashes, n = np.unique(np.concatenate(own), return_counts=True)
-            k = len(hashes)
-            return pa.RecordBatch.from_arrays([pa.array([key[0]] * k, pa.string()), pa.array([key[1]] * k, pa.int32()), pa.array(hashes, pa.int64()), pa.array(n, pa.int64())], ["host", "part", "hash", "n"])
-
-        return by_group(batches, tell)
+        for batch in batches:
+            found: dict[tuple[str, int, int], tuple[list[np.ndarray], list[np.ndarray]]] = {}
+            for host, part, html, total in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                blocks, salt = page_blocks(html), _salt(host)
+                windows, articles = found.setdefault((host, part, total), ([], []))
+                windows.append(np.unique(window_hashes(outside_words(blocks), min_run, salt)))
+                articles.append(np.unique(np.array([h for h in article_hashes(blocks, salt) if h], np.int64)))
+            for (host, part, total), kinds in found.items():
+                for article, own in zip((False, True), kinds):
+                    hashes, n = np.unique(np.concatenate(own), return_counts=True)
+                    k = len(hashes)
+                    yield pa.RecordBatch.from_arrays([pa.array([host] * k, pa.string()), pa.array([part] * k, pa.int32()), pa.array(hashes, pa.int64()), pa.array(n, pa.int64()), pa.array([total] * k, pa.int64()), pa.array([article] * k, pa.bool_())], ["host", "part", "hash", "n", "pages", "article"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tell(key, ids, urls, held, told):
-            texts = main_texts(held, min_run, covered, told, _salt(key[0]))
+        def tell(key, ids, urls, held, told, total):
+            texts = main_texts(held, min_run, covered, told, _salt(key[0]), total)
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
         return by_group(batches, tell)
 
-    every = placed.select("host", "part", "page_id", "url", "html", known)
+    every = placed.select("host", "part", "page_id", "url", "html", "pages", known)
     if not groups.isEmpty():
-        counted = dealt(placed.where("groups is not null").select("host", "part", "page_id", "url", "html", known)).mapInArrow(count, "host string, part int, hash long, n long")
-        # a group's rows of one run are as many as the times it was told off: few, and never one per page
-        over = counted.withColumn("total", F.sum("n").over(Window.partitionBy("hash", "host"))).where("n = 1 and total > 1")
+        counted = placed.where("groups is not null").select("host", "part", "html", "pages").mapInArrow(count, "host string, part int, hash long, n long, pages long, article boolean")
+        counted = counted.groupBy("host", "part", "hash", "pages", "article").agg(F.sum("n").alias("n"))
+        # a window has a row for each group of its host at most
+        over = counted.withColumn("total", F.sum("n").over(Window.partitionBy("hash", "host", "article")))
+        over = over.where(F.when(F.col("article"), F.col("total") >= USUAL * F.col("pages")).otherwise(F.col("total") > 1))
         tell = over.groupBy("host", "part").agg(F.sort_array(F.collect_set("hash")).alias("known"))
         every = every.unionByName(tell, allowMissingColumns=True)
     return dealt(every).mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
 def _salt(host: str) -> int:
     return xxhash.xxh64_intdigest(host) >> 1

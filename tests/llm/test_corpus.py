@@ -189,6 +189,20 @@ def test_runs_are_found_across_groups_of_a_large_host(spark):
     assert len(whole) == 80 and all("carry" not in x for x in whole.values())
 
 
+def test_repetition_judges_blocks_in_and_beside_articles(spark):
+    def page(k):
+        own, note = (" ".join(f"{c}{k}x{i}" for i in range(12)) for c in "wn")
+        shared = "<p>a passage that two articles quote word for word</p>" if k in (1, 2) else ""
+        return f"<body><div>Our site has all the news of the day for you</div><div>{note}</div><article><p>{own}</p>{shared}<p>Share this text with friends</p></article>"
+
+    data = [(k, f"http://a.example/{k}", page(k)) for k in range(40)] + [(100 + k, f"http://b.example/{k}", "<article><p>one text that is crawled again and again</p></article>") for k in range(9)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    for size in (512, 8):
+        got = {r["page_id"]: r["text"] for r in html.extract(pages, group_pages=size).collect()}
+        assert all("Share this" not in got[k] and "Our site" not in got[k] and f"w{k}x0" in got[k] and f"n{k}x0" in got[k] for k in range(40))
+        assert all("two articles quote" in got[k] for k in (1, 2)) and all(got[100 + k].startswith("one text") for k in range(9))
+
+
 # -- sharding, exact copies, mixing --------------------------------------------------------------------------
 
 
