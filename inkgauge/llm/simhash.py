@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from inkgauge.llm.columns import fresh
 from inkgauge.llm.components import connected_components
+from inkgauge.llm.shingles import AT_LEAST, similar_groups
 from inkgauge.llm.staging import stage
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -62,20 +63,6 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def word_fingerprints(text: str | None, seeds: tuple[int, ...]) -> list[int]:
-    """For each seed the SimHash of the distinct words of a text (words as in ``fingerprint``)."""
-    words = sorted(set((text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()))
-    out = []
-    for seed in seeds:
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(words), _BLOCK):
-            part = words[at : at + _BLOCK]
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in part), np.uint64, len(part))
-            counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(counts * 2 > len(words), bitorder="little").tobytes(), "little"))
-    return out
-
-
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
@@ -226,48 +213,14 @@ def near_duplicate_groups(docs: DataFrame, radius: int = 4, width: int = 4) -> D
     return rows.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-#: Seeds of the word fingerprints that ``near_dedup`` compares.
-SEEDS = (42, 43, 44)
-
-
-def word_groups(docs: DataFrame, radius: int = 4, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
-    """doc_id, tag (the text's hash) and root, equal for rows that are near duplicates.
-
-    Rows link when the fingerprints of their distinct words differ in at most ``radius`` bits under
-    any of the seeds. Each seed's links are found by covering; rows, as classes of equal fingerprints
-    under all seeds, join them as further nodes of one graph.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = [[_signed(x) for x in word_fingerprints(t.as_py(), seeds)] for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "tag", "fps"])
-
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tag"), text.alias("text"))
-    rows = stage(rows.mapInArrow(run, "doc_id long, tag long, fps array<long>").withColumn("class", F.xxhash64("fps")), "word-fingerprints")
-    classes = stage(rows.groupBy("class").agg(F.first("fps").alias("fps")), "word-classes")
-    edges = None
-    for k in range(len(seeds)):
-        node = lambda fp, k=k: F.xxhash64(F.lit(k), F.col(fp))
-        own = classes.select(F.col("class").alias("u"), F.col("fps")[k].alias("fp"))
-        found = fingerprint_links(own.select("fp").distinct(), radius)
-        # only classes whose fingerprint has a link or another class need its node; all others stay out of the graph
-        shared = own.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-        active = shared.unionByName(found.select(F.col("u").alias("fp"))).unionByName(found.select(F.col("v").alias("fp"))).distinct()
-        links = found.select(node("u").alias("u"), node("v").alias("v")).unionByName(own.join(active, "fp", "left_semi").select("u", node("fp").alias("v")))
-        edges = links if edges is None else edges.unionByName(links)
-    roots = connected_components(edges).withColumnRenamed("node", "class")
-    return rows.join(roots, "class", "left").select("doc_id", "tag", F.coalesce("root", "class").alias("root"))
-
-
-def near_dedup(docs: DataFrame, radius: int = 4, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
+def near_dedup(docs: DataFrame, at_least: float = AT_LEAST) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group of near duplicates, that with the smallest doc_id (null last).
 
-    Groups are those of ``word_groups``; texts without words are one group. Of rows of the group with
-    that doc_id one stays. Rows keep all their columns. An empty table gives an empty table.
+    Rows link when their sets of five-word shingles have a Jaccard similarity of ``at_least`` or more
+    (see ``shingles``); texts without words are one group. Of rows of the group with that doc_id one
+    stays. Rows keep all their columns. An empty table gives an empty table.
     """
-    groups = stage(word_groups(docs, radius, seeds), "groups")
+    groups = stage(similar_groups(docs, at_least), "groups")
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("best"))
     first = best.select(F.col("best.doc_id").alias("_keep_id"), F.col("best.tag").alias("_keep_tag")).distinct()
     tag = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))

@@ -311,6 +311,21 @@ def test_near_dedup_of_odd_rows(odd, empty):
     assert stay.columns == odd.columns and sorted(r["doc_id"] for r in stay.collect()) == [1, 4, 5, 7] and simhash.near_dedup(empty).count() == 0
 
 
+def test_near_dedup_against_all_pairs_of_shingles(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    base = [rng.sample(words, 100) for _ in range(12)]
+    data = [" ".join(b) for b in base] + [" ".join(sorted(b)) for b in base]  # the same words in another order stay
+    for b in base:
+        for n in (1, 2, 3, 5):
+            data.append(" ".join("new" if k in set(rng.sample(range(100), n)) else w for k, w in enumerate(b)))
+    data += [" ".join([*base[0][:k], "x", *base[0][k:]]) for k in range(0, 100, 3)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in data]
+    want = components(range(len(data)), [(a, b) for a in range(len(data)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8])
+    got = simhash.near_dedup(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(want.values()))
+
+
 def test_vectors_against_all_pairs(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     data = [(r["vec_id"], list(r["embedding"]), r["label"]) for r in table.collect()]
