@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from inkgauge.functions import names
 from inkgauge.functions import text as tx
 from inkgauge.operators import filters, layout, match, review, rollup, score, stability, suspect
+from inkgauge.llm.staging import stage
 from inkgauge.plans import reads as made
 from inkgauge.sources import store
 from inkgauge.plans.reads import READS_SQL, TRUTH_SQL, sql_ascii, sql_normalize
@@ -251,19 +252,19 @@ def page_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def class_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.class_accuracy(_same_line(spark, sf_dir))
+    return score.class_accuracy(_matched(spark, sf_dir))
 
 
 @query()
 def top_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty most frequent substitutions of each reader."""
-    return score.confusions(_same_line(spark, sf_dir), 20)
+    return score.confusions(_matched(spark, sf_dir), 20)
 
 
 @query()
 def thai_digit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thai digits read as Thai digits (strict) and as digits of the same value (lenient)."""
-    pairs = _same_line(spark, sf_dir).where("truth_no is not null and read_no is not null")
+    pairs = _matched(spark, sf_dir).where("truth_no is not null and read_no is not null")
     return score.digit_report(pairs, "engine")
 
 
@@ -278,6 +279,43 @@ def leaderboard_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("cer", score.rate(F.col("edits"), F.col("chars"))).withColumn("recall", score.rate(F.col("found"), F.col("found") + F.col("missed")))
 
 
+# -- all readers: their lines are matched, which SQL can't do ---------------------------------------------
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truth and reads of all readers, aligned; pages that a reader lacks count as missed."""
+    t = made.truth(spark, sf_dir)
+    r = made.reads(spark, sf_dir, t)
+    return match.with_missing(match.align(t, r), t, r.select("engine").distinct())
+
+
+@query()
+def matched_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.page_scores(_matched(spark, sf_dir))
+
+
+@query()
+def all_page_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error rate over whole pages of all readers."""
+    t = made.truth(spark, sf_dir)
+    return score.page_error_rates(t, made.reads(spark, sf_dir, t))
+
+
+@query()
+def matched_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All readers by document and over all, best first. The made-up readers have no times, so seconds is null."""
+    pages = stage(matched_page_scores(spark, sf_dir), "page-scores")
+    runs = pages.select("engine", "page_id", F.lit(None).cast("double").alias("core_ms"))
+    docs = pages.select("page_id", filters.doc_of(F.col("page_id")).alias("doc")).distinct()
+    return score.leaderboard(pages, all_page_error_rates(spark, sf_dir), runs, docs)
+
+
+@query()
+def matched_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best reader by line error rate, page error rate and recall."""
+    return score.leaders(matched_leaderboard(spark, sf_dir))
+
+
 # -- suspicion, review, stability -----------------------------------------------------------------------
 
 

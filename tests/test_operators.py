@@ -219,3 +219,18 @@ def test_log_stream(spark, tmp_path):
     run()
     got = {r["page_id"]: r["run"] for r in spark.read.parquet(str(tmp_path / "t/v1")).collect()}
     assert got == {"p": "3", "q": "2"}
+
+
+def test_all_readers_are_scored_by_matching(spark, monkeypatch):
+    from inkgauge.plans import queries, reads as made
+
+    truth = lines(spark, {"a_p1": WRAPPED, "a_p2": WRAPPED[:2]}).withColumn("doc", F.lit("a"))
+    read = lines(spark, {"a_p1": WRAPPED, "a_p2": ["x"]}, "alpha").unionByName(lines(spark, {"a_p1": ["".join(WRAPPED)]}, "gamma-x"))
+    monkeypatch.setattr(made, "truth", lambda *_: truth)
+    monkeypatch.setattr(made, "reads", lambda *_: read)
+    got = {(r["engine"], r["page_id"]): (r["truth_lines"], r["found"], r["missed"], r["spurious"], r["edits"]) for r in queries.matched_page_scores(spark, "").collect()}
+    assert got == {("alpha", "a_p1"): (3, 3, 0, 0, 0), ("alpha", "a_p2"): (2, 0, 2, 1, 0), ("gamma-x", "a_p1"): (3, 3, 0, 0, 0), ("gamma-x", "a_p2"): (2, 0, 2, 0, 0)}
+    board = {r["engine"]: r for r in queries.matched_leaderboard(spark, "").where("doc is null").collect()}
+    assert board["gamma-x"]["recall"] == board["alpha"]["recall"] == 3 / 5 and board["gamma-x"]["cer"] == 0
+    assert {r["engine"] for r in queries.class_accuracy(spark, "").collect()} == {r["engine"] for r in queries.all_page_error_rates(spark, "").collect()} == {"alpha", "gamma-x"}
+    assert queries.matched_leaders(spark, "").first()["best_recall"] == "alpha"
