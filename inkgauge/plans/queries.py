@@ -127,7 +127,7 @@ select page_id, line_no, regexp_replace(raw, '([ก-ฮ]) า', '\\1ำ', 'g') a
 def truth_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Split vowels joined again, and the font map undone."""
     raw = F.regexp_replace(F.replace("text", F.lit("ำ"), F.lit(" ำ")), "([ก-ฮ])า", "$1 า")
-    t = made.truth(spark, sf_dir).select("page_id", "line_no", raw.alias("raw")).where(~F.col("raw").contains("@@"))
+    t = made.truth(spark, sf_dir).select("page_id", "line_no", raw.alias("raw"))
     return t.select("page_id", "line_no", tx.join_split_sara_am(F.col("raw")).alias("joined"), tx.needs_sara_repair(F.col("raw")).cast("int").alias("broken"), tx.repair_sara(F.col("raw")).alias("repaired"))
 
 
@@ -406,12 +406,20 @@ b as (select *, lag(text) over (partition by conv_id order by turn) as before fr
 select conv_id, turn as round, cast(length(text) as bigint) as chars, cast(len(regexp_extract_all(text, '[0-9]')) as bigint) as arabic_digits,
   case when before is null then null when before = text then 0.0 else cast(levenshtein(text, before) as double) / greatest(length(text), length(before)) end as change from b""")
 def round_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each round of a conversation against the one before."""
+    """Each round of a conversation against the one before, by its ASCII characters: DuckDB's distance counts bytes. ``whole_round_history`` has whole texts."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "")
     return stability.round_history(c.select("conv_id", F.col("turn").alias("round"), text.alias("text")), "conv_id").select("conv_id", "round", "chars", "arabic_digits", "change")
 
 
+@query()
+def whole_round_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each round of a conversation against the one before, over all its characters."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    text = F.coalesce("text", F.lit(""))
+    return stability.round_history(c.select("conv_id", F.col("turn").alias("round"), text.alias("text")), "conv_id").select("conv_id", "round", "chars", "arabic_digits", "change")
+
+
 # -- tables and runs -----------------------------------------------------------------------------------
 
 

@@ -234,3 +234,14 @@ def test_all_readers_are_scored_by_matching(spark, monkeypatch):
     assert board["gamma-x"]["recall"] == board["alpha"]["recall"] == 3 / 5 and board["gamma-x"]["cer"] == 0
     assert {r["engine"] for r in queries.class_accuracy(spark, "").collect()} == {r["engine"] for r in queries.all_page_error_rates(spark, "").collect()} == {"alpha", "gamma-x"}
     assert queries.matched_leaders(spark, "").first()["best_recall"] == "alpha"
+
+
+def test_histories_and_repairs_take_whole_texts(spark, tmp_path, monkeypatch):
+    from inkgauge.plans import queries, reads as made
+
+    rows = [(1, 1, "user", "año 1"), (1, 2, "user", "año 1"), (1, 3, "user", "ano 1"), (1, 4, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"file://{tmp_path}/conversations.parquet")
+    got = [(r["chars"], r["arabic_digits"], r["change"]) for r in queries.whole_round_history(spark, f"file://{tmp_path}").orderBy("round").collect()]
+    assert got == [(5, 1, None), (5, 1, 0.0), (5, 1, 0.2), (0, 0, 1.0)]
+    monkeypatch.setattr(made, "truth", lambda *_: spark.createDataFrame([("p", 0, "ทำ @@"), ("p", 1, "กา")], "page_id string, line_no int, text string"))
+    assert {r["line_no"]: r["repaired"] for r in queries.truth_repair(spark, "").collect()} == {0: "ทำ @@", 1: "ก า"}
