@@ -14,13 +14,13 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgauge.llm.columns import spread
 
 UNKNOWN = "und"
-#: A dictionary's bytes; what it is made of: this many labelled texts (drawn by hash) of at most this many characters.
+#: A dictionary's bytes; what it is made of: so many of a language's labelled texts, drawn by hash among all, and so many characters of each.
 DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_CHARS = 110 * 1024, 400, 8000
 CHUNK = 2048
 #: Texts up to SHORT bytes are compressed at the finer level with matches from three bytes on.
@@ -49,12 +49,15 @@ def train(docs: DataFrame) -> Model:
     Each language gives a bounded sample (see the constants); counts, which only settle ties, are
     over all rows. The driver gets the sample alone.
     """
-    known = docs.where("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), spread("doc_id").alias("u"))
-    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = docs.where("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), spread("doc_id", "text").alias("u"))
+    found = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("u").alias("least")).collect()
+    totals = {r["lang"]: r["n"] for r in found}
     drawn = F.lit(False)
-    for lang, n in totals.items():
-        drawn = drawn | ((F.col("lang") == lang) & (F.col("u") < 2 * SAMPLE_DOCS / n))
-    sample = known.where(drawn & (F.length("text") <= SAMPLE_CHARS)).limit(4 * SAMPLE_DOCS * len(totals)).collect()
+    for r in found:  # the least draw has a row, even where all rows are copies
+        drawn = drawn | ((F.col("lang") == r["lang"]) & (F.col("u") <= max(2 * SAMPLE_DOCS / r["n"], r["least"])))
+    rows = known.where(drawn).select("lang", "u", F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("u", "text"))
+    sample = rows.withColumn("place", place).where(F.col("place") <= 4 * SAMPLE_DOCS).collect()
     texts: dict[str, list[tuple[float, bytes]]] = {lang: [] for lang in totals}
     for r in sample:
         texts[r["lang"]].append((r["u"], plain(r["text"])))

@@ -384,6 +384,16 @@ def test_language_on_held_out_rows(spark, rows, odd, empty):
     assert len(found) == len(ODD) and found.count("und") == 3 and langid.language_report(empty).count() == 0
 
 
+def test_languages_of_long_texts_and_repeated_ids_keep_dictionaries(spark):
+    rng = random.Random(2)
+    text = lambda letters, n: " ".join("".join(rng.choices(letters, k=5)) for _ in range(n))
+    data = [(k, text("abcde", 2000), "long") for k in range(20)] + [(None, text("vwxyz", 30), "null") for _ in range(3000)]
+    data += [(7, "mnop nmop ponm", "copy")] * 3000
+    model = langid.train(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    assert set(model.languages) == {"long", "null", "copy"} and all(model.dictionaries)
+    assert all(langid.Scorer(model).predict(data[k][1][:900])[0] == "long" for k in range(5))
+
+
 def brute_kn(texts, order):
     """Interpolated modified Kneser-Ney of characters, straight from the definition."""
     pad = "\x02" * (order - 1)
