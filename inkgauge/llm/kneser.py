@@ -25,6 +25,8 @@ from inkgauge.llm.staging import new_path, stage
 
 ORDER = 5
 QUANTILE = 0.99
+#: Judged rows from which a language has a threshold of its own: with fewer, the quantile is just their maximum.
+MIN_JUDGED = 100
 #: A score is the mean of -log p less this many standard errors, so that short texts aren't rejected on little evidence.
 CAUTION = 2.0
 #: Characters of a block (a longer document is a block of its own) and of what is worked on at once.
@@ -273,11 +275,27 @@ def block_scores(blocks: DataFrame, orders: list[Order]) -> DataFrame:
     return stage(blocks.select("bid", "doc_id", "lang", "tag", "sizes", "payload").groupBy("bid").cogroup(answers.groupBy("to")).applyInPandas(run, schema), "scores")
 
 
+def language_thresholds(judged: DataFrame, quantile: float = QUANTILE, least: int = MIN_JUDGED) -> tuple[DataFrame, DataFrame]:
+    """(lang, score) of judged rows -> (_lang, threshold) by language, and one row with overall, the quantile of all.
+
+    A language with ``least`` judged rows or more has the quantile of their scores. One with k rows, fewer,
+    has their mean plus sqrt(1 + 1/k) times the pooled quantile of how far scores lie above their language's
+    mean, each times sqrt(n / (n - 1)) for its language's n rows: the quantile of a new document of the
+    language. Without any language of two rows there is no pooled quantile, and the overall one holds.
+    """
+    cut = lambda c: F.percentile_approx(c, F.lit(quantile), F.lit(10_000))
+    stats = judged.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("n"), F.avg("score").alias("center"), cut("score").alias("own"))
+    above = judged.join(stats.where("n > 1"), F.col("lang").eqNullSafe(F.col("_lang"))).select(((F.col("score") - F.col("center")) * F.sqrt(F.col("n") / (F.col("n") - 1))).alias("above"))
+    pooled = above.agg(cut("above").alias("pooled"))
+    threshold = F.when(F.col("n") >= least, F.col("own")).otherwise(F.col("center") + F.sqrt(1 + 1 / F.col("n")) * F.col("pooled"))
+    return stats.join(F.broadcast(pooled)).select("_lang", threshold.alias("threshold")), judged.agg(cut("score").alias("overall"))  # one row
+
+
 def quality_report(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
     """One row per row of ``docs``: doc_id, lang, n_chars, perplexity, score, threshold, kept; and tag, the text's hash.
 
-    A document stays if its score is at most its language's threshold. A null lang is a language of
-    its own. A language without trusted documents to set a threshold takes the threshold of all
+    A document stays if its score is at most its language's threshold (see ``language_thresholds``).
+    A null lang is a language of its own. A language without trusted documents to set a threshold takes the threshold of all
     languages together; without any at all everything stays. Null and empty texts have null
     perplexity and score and stay. Repeated rows get the same verdict. Empty tables give empty
     tables; other columns are ignored. ``labels`` may name a document several times; null labels
@@ -289,10 +307,8 @@ def quality_report(docs: DataFrame, labels: DataFrame, order: int = ORDER, quant
     scores = block_scores(blocks, model(gram_counts(blocks, trusted, order), order))
     docs.sparkSession.sql(f"drop table {name}")  # the catalog's entry; what was read of it is staged
     judged = scores.join(trusted.where("not train"), "doc_id", "left_semi").where("score is not null")
-    cut = F.percentile_approx("score", F.lit(quantile), F.lit(10_000)).alias("threshold")
-    by_lang = judged.groupBy(F.col("lang").alias("_lang")).agg(cut)
-    overall = judged.agg(cut.alias("overall"))
-    rows = scores.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(F.broadcast(overall))  # one row
+    thresholds, overall = language_thresholds(judged, quantile)
+    rows = scores.join(thresholds, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(F.broadcast(overall))  # one row
     threshold = F.coalesce("threshold", "overall")
     kept = F.coalesce(F.col("score") <= threshold, F.lit(True))
     return rows.select("doc_id", "lang", "n_chars", F.exp("mean").alias("perplexity"), "score", threshold.alias("threshold"), kept.alias("kept"), "tag")

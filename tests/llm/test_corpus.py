@@ -446,6 +446,21 @@ def test_quality_keeps_clean_rows(spark, odd, empty):
     assert kneser.quality_filter(odd, labels).columns == odd.columns
 
 
+def test_thresholds_of_languages_with_few_judged_rows(spark):
+    rng = random.Random(6)
+    langs = [("big", 2.0, 400)] + [(f"few{k}", 3.0 + k % 5, 1 + k % 12) for k in range(60)]
+    judged = spark.createDataFrame([(lang, rng.gauss(mean, 0.2)) for lang, mean, n in langs for _ in range(n)], "lang string, score double")
+    thresholds, overall = kneser.language_thresholds(judged)
+    got = {r["_lang"]: r["threshold"] for r in thresholds.collect()}
+    own = sorted(r["score"] for r in judged.where("lang = 'big'").collect())
+    assert len(got) == 61 and got["big"] in own and sum(x <= got["big"] for x in own) == 396
+    clean = [rng.gauss(mean, 0.2) <= got[lang] for lang, mean, _ in langs[1:] for _ in range(200)]
+    junk = [mean + 2 <= got[lang] for lang, mean, _ in langs[1:]]
+    assert np.mean(clean) > 0.97 and not any(junk)
+    alone, overall = kneser.language_thresholds(spark.createDataFrame([("a", 1.0)], "lang string, score double"))
+    assert alone.first()["threshold"] is None and overall.first()["overall"] == 1.0
+
+
 # -- the whole ------------------------------------------------------------------------------------------------
 
 
