@@ -245,3 +245,12 @@ def test_histories_and_repairs_take_whole_texts(spark, tmp_path, monkeypatch):
     assert got == [(5, 1, None), (5, 1, 0.0), (5, 1, 0.2), (0, 0, 1.0)]
     monkeypatch.setattr(made, "truth", lambda *_: spark.createDataFrame([("p", 0, "ทำ @@"), ("p", 1, "กา")], "page_id string, line_no int, text string"))
     assert {r["line_no"]: r["repaired"] for r in queries.truth_repair(spark, "").collect()} == {0: "ทำ @@", 1: "ก า"}
+
+
+def test_variants_are_marked_in_the_line(spark):
+    from inkgauge.functions.edits import variants_html
+
+    mark = lambda tip, text: f'<span class="wrong" data-tip="another round reads: {tip}">{text}</span>'
+    rows = [("abcdef", ["abXdef", "aYYdef"]), ("a<b", ["a<b"]), ("abc", ["ac", "abc!"]), ("", ["x"]), ("ab", ["a&b"]), (None, ["x"])]
+    got = [r["h"] for r in spark.createDataFrame(rows, "line string, others array<string>").coalesce(1).select(variants_html(F.col("line"), F.col("others")).alias("h")).collect()]
+    assert got == ["a" + mark("YY", "bc") + "def", "a&lt;b", "a" + mark("(left out)", "b") + "c", "", "a" + mark("&amp;", "b"), None]
