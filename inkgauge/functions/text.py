@@ -6,6 +6,8 @@ told otherwise, so white space is spelled out to match Unicode's and U+001C to U
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,13 +47,37 @@ def compose_sara_am(c: Column) -> Column:
     return F.replace(c, F.lit(NIKHAHIT + SARA_AA), F.lit(SARA_AM))
 
 
-def reorder_marks(c: Column) -> Column:
-    """Each run of marks in order of place; marks of the same place keep their order."""
+def _let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), with c worked out once however often f names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
+#: Later places and the place that belongs before them.
+_LATER = ((ABOVE + TONE + TOP, BELOW), (TONE + TOP, ABOVE), (TOP, TONE))
+_UNORDERED = "|".join(f"[{late}][{early}]" for late, early in _LATER)
+
+
+def sort_marks(c: Column) -> Column:
+    """Each run of marks in order of place by taking runs apart; right for any text, and slow."""
     tokens = F.regexp_extract_all(c, F.lit(f"[{MARKS}]+|[^{MARKS}]+"), F.lit(0))
     ordered = lambda t: F.concat(*[F.regexp_replace(t, f"[^{group}]", "") for group in (BELOW, ABOVE, TONE, TOP)])
     return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(f"^[{MARKS}]"), ordered(t)).otherwise(t)), "")
 
 
+def reorder_marks(c: Column) -> Column:
+    """Each run of marks in order of place; marks of the same place keep their order.
+
+    Texts in order stay as they are. Others have later places moved behind earlier ones, which
+    settles all runs but long mixed ones; only what is still out of order is taken apart.
+    """
+    def moved(x: Column) -> Column:
+        for late, early in _LATER:
+            x = F.regexp_replace(x, f"([{late}]+)([{early}]+)", "$2$1")
+        return _let(x, lambda y: F.when(y.rlike(_UNORDERED), sort_marks(y)).otherwise(y))
+
+    return F.when(c.rlike(_UNORDERED), moved(c)).otherwise(c)
+
+
 def drop_duplicate_marks(c: Column) -> Column:
     return F.regexp_replace(c, f"([{MARKS}])\\1+", "$1")
 
@@ -82,7 +108,8 @@ def normalize(c: Column, keep_spaces: bool = False, compose: bool = False) -> Co
         from inkgauge.functions.edits import nfc
 
         c = nfc(c)
-    c = drop_duplicate_marks(reorder_marks(compose_sara_am(fold_typography(c))))
+    c = compose_sara_am(fold_typography(c))
+    c = drop_duplicate_marks(reorder_marks(c))
     return collapse_whitespace(c) if keep_spaces else strip_whitespace(c)
 
 
@@ -100,6 +127,26 @@ def classify_char(c: Column) -> Column:
     )
 
 
+#: What the classes hold, as far as one pattern tells; all else is punct_symbol.
+CLASS_PATTERNS = {
+    "thai_consonant": "[ก-ฮ]",
+    "thai_vowel_mark": rf"[\x{{0E00}}-\x{{0E7F}}&&[^๐-๙ก-ฮ{THAI_SYMBOLS}]]",
+    "thai_digit": "[๐-๙]",
+    "arabic_digit": "[0-9]",
+    "latin": "[A-Za-z]",
+    "other": r"(?U)[\p{L}\p{N}\s\x{1c}-\x{1f}&&[^0-9A-Za-z\x{0E00}-\x{0E7F}]]",
+}
+
+
+def class_counts(c: Column) -> list[Column]:
+    """How many characters of a text are in each of ``CLASSES``."""
+    n = {k: count_matches(c, p) for k, p in CLASS_PATTERNS.items()}
+    rest = F.length(c).cast("long")
+    for k in n.values():
+        rest = rest - k
+    return [n.get(k, rest) for k in CLASSES]
+
+
 def count_matches(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern)).cast("long")
 
@@ -163,10 +210,18 @@ def clean_lines(raw: Column) -> Column:
     return split_lines(join_split_sara_am(F.when(needs_sara_repair(raw), repair_sara(raw)).otherwise(raw)))
 
 
+def broken_glyphs(c: Column) -> Column:
+    """Strange characters inside Thai words."""
+    return count_matches(c, r"[ก-๛][=<>*@^~`|0-9][ก-๛]")
+
+
+def thai_letters(c: Column) -> Column:
+    return count_matches(c, "[ก-๛]")
+
+
 def broken_glyph_rate(c: Column) -> Column:
     """Strange characters inside Thai words per thousand Thai characters; 0 without Thai."""
-    broken = count_matches(c, r"[ก-๛][=<>*@^~`|0-9][ก-๛]")
-    return F.coalesce(F.try_divide(broken, F.nullif(count_matches(c, "[ก-๛]"), F.lit(0))) * 1000, F.lit(0.0))
+    return F.coalesce(F.try_divide(broken_glyphs(c), F.nullif(thai_letters(c), F.lit(0))) * 1000, F.lit(0.0))
 
 
 _FLOATING = "ะาำิีึืุูํ็่้๊๋์"

@@ -1,19 +1,28 @@
 """Matching the lines of a page as truth has them with the lines a reader gave.
 
-Long tables are (engine, page_id, line_no, text). A page is the unit: nothing joins across pages, and
-pages are dealt out by (engine, page_id).
+Long tables are (engine, page_id, line_no, text); nothing joins across pages. ``align`` goes from
+what is cheap to what is dear: equal lines by a window, like lines by a join with bounded distances
+and one ordered pass, lines that a reader merged by best windows, and last the cutting of merged
+lines. Only best windows and cuts need Python, for the few lines that come so far.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgauge.functions import text as tx
-from inkgauge.functions.edits import distance, partial_ratio, similarity, split_like
+from inkgauge.functions.edits import best_window, edit_distance, split_by_parts
+from inkgauge.sources.staged import stage
 
-THRESHOLD, WINDOW, GROUP, LONGER = 0.45, 80.0, 0.7, 1.3
+#: Least similarity of a pair; least score of a line inside a longer one and how much longer that is; least similarity of a merged line.
+THRESHOLD, WINDOW, LONGER, GROUP = 0.45, 80.0, 1.3, 0.7
+#: Characters from which on distances are counted by machine words instead of a band.
+LONG = 2048
+PAGE = ["engine", "page_id"]
 
 
 def cheap_distance(a: Column, b: Column, first: int = 32, last: int = 16_384) -> Column:
@@ -25,6 +34,12 @@ def cheap_distance(a: Column, b: Column, first: int = 32, last: int = 16_384) ->
     return F.when(a == b, 0).otherwise(F.coalesce(*bands, F.levenshtein(a, b))).cast("long")
 
 
+def any_distance(a: Column, b: Column) -> Column:
+    """``levenshtein`` of texts of any length: a band for short ones, machine words for long ones that differ."""
+    long = (F.greatest(F.length(a), F.length(b)) > LONG) & (a != b)
+    return F.when(long, edit_distance(F.when(long, a), F.when(long, b))).otherwise(cheap_distance(a, b, 64, 512))
+
+
 def text_similarity(a: Column, b: Column) -> Column:
     """1 less the distance over the longer length; 1 for two empty texts."""
     longer = F.greatest(F.length(a), F.length(b))
@@ -34,13 +49,16 @@ def text_similarity(a: Column, b: Column) -> Column:
 def candidates(truth: DataFrame, reads: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """engine, page_id, truth_no, read_no, similarity of all pairs of non-empty lines of a page at or above the threshold.
 
-    ``truth`` has page_id, line_no, norm; ``reads`` has engine too. The similarity is at most the
-    ratio of the lengths, so pairs of unlike lengths never reach the distance.
+    ``truth`` has page_id, line_no, norm, or engine too if its lines differ by reader; ``reads`` has
+    engine. The similarity is at most the ratio of the lengths, so pairs of unlike lengths never
+    reach the distance.
     """
-    t = truth.where("norm <> ''").select("page_id", F.col("line_no").alias("truth_no"), F.col("norm").alias("t"), F.length("norm").alias("tl"))
-    r = reads.where("norm <> ''").select("engine", "page_id", F.col("line_no").alias("read_no"), F.col("norm").alias("r"), F.length("norm").alias("rl"))
+    keys = [c for c in PAGE if c in truth.columns]
+    t = truth.where("norm <> ''").select(*keys, F.col("line_no").alias("truth_no"), F.col("norm").alias("t"), F.length("norm").alias("tl"))
+    r = reads.where("norm <> ''").select(*PAGE, F.col("line_no").alias("read_no"), F.col("norm").alias("r"), F.length("norm").alias("rl"))
     near = F.least("tl", "rl") >= F.lit(threshold) * F.greatest("tl", "rl")
-    return t.join(r, "page_id").where(near).withColumn("similarity", text_similarity(F.col("t"), F.col("r"))).where(F.col("similarity") >= threshold).select("engine", "page_id", "truth_no", "read_no", "similarity")
+    met = t.join(r, keys).where(near).withColumn("similarity", 1 - any_distance(F.col("t"), F.col("r")) / F.greatest("tl", "rl"))
+    return met.where(F.col("similarity") >= threshold).select(*PAGE, "truth_no", "read_no", "similarity")
 
 
 def equal_pairs(truth: DataFrame, reads: DataFrame) -> DataFrame:
@@ -55,134 +73,146 @@ def mutual_best(pairs: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """The greedy one-to-one match of scored pairs (engine, page_id, truth_no, read_no, similarity), as a loop of joins.
 
     Order: higher similarity, then larger truth_no, then larger read_no. A pair that is first for
-    both its lines is one that greedy takes; taken lines leave and the rest goes on. Each round is
-    checkpointed, so lineage stays short. For short pages ``align`` is the cheaper way.
+    both its lines is one that greedy takes; taken lines leave and the rest goes on. For pages of
+    any size, as no task needs a whole page; ``best_first`` is the cheaper way for usual ones.
     """
     order = [F.desc("similarity"), F.desc("truth_no"), F.desc("read_no")]
-    left, taken, rounds = pairs, None, 0
+    left, taken, rounds = stage(pairs, "pairs"), None, 0
     while most_rounds is None or rounds < most_rounds:
-        for_truth = F.row_number().over(Window.partitionBy("engine", "page_id", "truth_no").orderBy(*order))
-        for_read = F.row_number().over(Window.partitionBy("engine", "page_id", "read_no").orderBy(*order))
+        for_truth = F.row_number().over(Window.partitionBy(*PAGE, "truth_no").orderBy(*order))
+        for_read = F.row_number().over(Window.partitionBy(*PAGE, "read_no").orderBy(*order))
         ranked = left.withColumn("a", for_truth).withColumn("b", for_read)
-        won = ranked.where("a = 1 and b = 1").select("engine", "page_id", "truth_no", "read_no", "similarity").checkpoint()
+        won = stage(ranked.where("a = 1 and b = 1").select(*PAGE, "truth_no", "read_no", "similarity"), "won")
         if won.isEmpty():
             break
         taken = won if taken is None else taken.unionByName(won)
-        left = (
-            left.join(won.select("engine", "page_id", "truth_no"), ["engine", "page_id", "truth_no"], "left_anti")
-            .join(won.select("engine", "page_id", "read_no"), ["engine", "page_id", "read_no"], "left_anti").checkpoint()
+        left = stage(
+            left.join(won.select(*PAGE, "truth_no"), [*PAGE, "truth_no"], "left_anti")
+            .join(won.select(*PAGE, "read_no"), [*PAGE, "read_no"], "left_anti"),
+            "left",
         )
         rounds += 1
     return pairs.limit(0) if taken is None else taken
 
 
-def _greedy(truth: list[str], reads: list[str], threshold: float) -> dict[int, int]:
-    found: dict[int, int] = {}
-    free: dict[str, list[int]] = {}
-    for p, r in enumerate(reads):
-        free.setdefault(r, []).append(p)
-    for t in range(len(truth) - 1, -1, -1):  # equal lines come first in greedy order
-        if truth[t] and free.get(truth[t]):
-            found[t] = free[truth[t]].pop()
-    used = set(found.values())
-    rest = [p for p, r in enumerate(reads) if r and p not in used]
-    scored = []
-    for t, line in enumerate(truth):
-        if line and t not in found:
-            for p in rest:
-                n, m = sorted((len(line), len(reads[p])))
-                if n >= threshold * m and (s := 1 - distance(line, reads[p]) / m) >= threshold:
-                    scored.append((s, t, p))
-    for _, t, p in sorted(scored, reverse=True):
-        if t not in found and p not in used:
-            found[t] = p
-            used.add(p)
-    return found
-
-
-def _blocks(truth: list[str], reads: list[str], found: dict[int, int]) -> dict[int, list[int]]:
-    """Reads that hold several truth lines, with the lines: unmatched lines found inside a longer read, and its matched line."""
-    held: dict[int, int] = {}
-    for t, line in enumerate(truth):
-        if not line or t in found:
-            continue
-        best, top = None, WINDOW
-        for p, r in enumerate(reads):
-            if len(r) > LONGER * len(line) and (s := partial_ratio(line, r)) > top:
-                best, top = p, s
-        if best is not None:
-            held[t] = best
-    seat = found | held
-    for t in sorted(held):  # a line whose neighbours both sit elsewhere joins the one that holds it best
-        near = {seat.get(t - 1), seat.get(t + 1)}
-        if held[t] in near:
-            continue
-        top = WINDOW
-        for p in near - {None}:
-            if (s := partial_ratio(truth[t], reads[p])) > top:
-                held[t] = seat[t] = p
-                top = s
-    out: dict[int, set[int]] = {}
-    for t, p in held.items():
-        out.setdefault(p, set()).add(t)
-    for t, p in found.items():
-        if p in out:
-            out[p].add(t)
-    return {p: sorted(ts) for p, ts in out.items()}
-
-
-def align_page(truth: list[str], reads: list[str], norm_truth: list[str], norm_reads: list[str], threshold: float = THRESHOLD) -> list[tuple[int | None, int | None, str]]:
-    """(truth index, read index, read text) of a page: matched, missed (no read) and spurious (no truth) lines.
-
-    One-to-one greedy first; then reads that merge several truth lines are cut back into them, if
-    together they are like the read. Lines that are empty in normal form take no part.
-    """
-    found = _greedy(norm_truth, norm_reads, threshold)
-    used, cut = set(found.values()), {}
-    for p, members in _blocks(norm_truth, norm_reads, found).items():
-        if similarity("".join(norm_truth[t] for t in members), norm_reads[p]) < GROUP:
-            continue
-        used.add(p)
-        for t, piece in zip(members, split_like([norm_truth[t] for t in members], reads[p])):
-            cut[t], found[t] = piece, p
-    out: list[tuple[int | None, int | None, str]] = []
-    for t, line in enumerate(norm_truth):
-        if line:
-            p = found.get(t)
-            out.append((t, p, "" if p is None else cut.get(t, reads[p])))
-    return out + [(None, p, reads[p]) for p, r in enumerate(norm_reads) if r and p not in used]
+def best_first(pairs: DataFrame) -> DataFrame:
+    """The same match in one pass over the pairs of each page, best first; a task remembers the lines its current page has used."""
+    schema = pairs.select(*PAGE, "truth_no", "read_no").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, gone = None, (set(), set())
+        for batch in batches:
+            free = []
+            for engine, page_id, t, r in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if (engine, page_id) != page:
+                    page, gone = (engine, page_id), (set(), set())
+                free.append(t not in gone[0] and r not in gone[1])
+                if free[-1]:
+                    gone[0].add(t)
+                    gone[1].add(r)
+            yield batch.select(range(4)).filter(pa.array(free, pa.bool_()))
+
+    ordered = pairs.repartition(*PAGE).sortWithinPartitions(*PAGE, F.desc("similarity"), F.desc("truth_no"), F.desc("read_no"))
+    return ordered.select(*PAGE, "truth_no", "read_no", "similarity").mapInArrow(run, schema)
+
+
+def _settled(truth: DataFrame, reads: DataFrame) -> DataFrame:
+    """engine, page_id, side (0 truth, 1 read), no, text, norm, mate: all lines that aren't blank, with the equal line of the other side."""
+    engines = reads.select(*PAGE).distinct()
+    side = lambda df, k: df.select(*PAGE, F.lit(k).alias("side"), F.col("line_no").cast("int").alias("no"), "text", tx.normalize(F.col("text")).alias("norm")).where("norm <> ''")
+    lines = side(truth.join(engines, "page_id"), 0).unionByName(side(reads, 1)).repartition(*PAGE, "norm")
+    ranked = lines.withColumn("k", F.row_number().over(Window.partitionBy(*PAGE, "norm", "side").orderBy(F.desc("no"))))
+    same = Window.partitionBy(*PAGE, "norm", "k")
+    other = F.max(F.when(F.col("side") == 1, F.col("no"))).over(same), F.max(F.when(F.col("side") == 0, F.col("no"))).over(same)
+    return stage(ranked.withColumn("mate", F.when(F.col("side") == 0, other[0]).otherwise(other[1])).drop("k"), "lines")
 
 
-PAIRS = "engine string, page_id string, truth_no int, read_no int, truth string, read string"
+def _holders(alone: DataFrame, reads: DataFrame) -> DataFrame:
+    """engine, page_id, truth_no, held: the longer read that best holds an unmatched truth line, the first of equals."""
+    met = alone.join(reads, PAGE).where(F.length("r") > LONGER * F.length("t"))
+    scored = met.withColumn("score", best_window(F.col("t"), F.col("r"), WINDOW)).where(F.col("score") > WINDOW)
+    best = scored.groupBy(*PAGE, "truth_no").agg(F.max(F.struct("score", (-F.col("read_no")).alias("first"))).alias("b"))
+    return best.select(*PAGE, "truth_no", (-F.col("b.first")).alias("held"))
+
+
+def _with_neighbours(held: DataFrame, found: DataFrame, truth: DataFrame, reads: DataFrame) -> DataFrame:
+    """``held`` with lines whose neighbours both sit elsewhere moved to the neighbour's read that holds them better, if one holds them well.
+
+    Lines are judged from the top, so a line sees where the one above went. Only runs of lines that
+    no neighbour supports are scored again.
+    """
+    seats = found.select(*PAGE, "truth_no", F.col("read_no").alias("seat"), F.lit(False).alias("is_held"))
+    seats = seats.unionByName(held.select(*PAGE, "truth_no", F.col("held").alias("seat"), F.lit(True).alias("is_held")))
+    order = Window.partitionBy(*PAGE).orderBy("truth_no")
+    beside = lambda step, k: F.when(step("truth_no").over(order) == F.col("truth_no") + k, step("seat").over(order))
+    seen = seats.withColumn("before", beside(F.lag, -1)).withColumn("after", beside(F.lead, 1)).where("is_held")
+    agrees = F.coalesce(F.col("seat") == F.col("before"), F.lit(False)) | F.coalesce(F.col("seat") == F.col("after"), F.lit(False))
+    seen = seen.withColumn("agrees", agrees).drop("is_held")
+    lonely = seen.where(~F.col("agrees")).withColumn("run", F.col("truth_no") - F.row_number().over(order))
+    places = lonely.select(*PAGE, "run", F.explode(F.array("seat", "before", "after")).alias("read_no")).where("read_no is not null").distinct()
+    scored = (
+        lonely.select(*PAGE, "run", "truth_no").join(places, [*PAGE, "run"]).join(truth, [*PAGE, "truth_no"]).join(reads, [*PAGE, "read_no"])
+        .withColumn("score", best_window(F.col("t"), F.col("r"), WINDOW))
+        .groupBy(*PAGE, "run", "truth_no").agg(F.array_sort(F.collect_list(F.struct("read_no", "score"))).alias("scores"))
+    )
+    line = F.struct("truth_no", "seat", "before", "after", "scores")
+    runs = lonely.join(scored, [*PAGE, "run", "truth_no"]).groupBy(*PAGE, "run").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    kind = "array<struct<truth_no:int,held:int>>"
+
+    def step(done: Column, x: Column) -> Column:
+        before = F.when(F.size(done) == 0, x["before"]).otherwise(F.element_at(done, -1)["held"])
+        stays = F.coalesce((x["seat"] == before) | (x["seat"] == x["after"]), x["seat"] == before, x["seat"] == x["after"], F.lit(False))
+        above, below = (F.coalesce(F.get(F.filter(x["scores"], lambda s: s["read_no"] == c), F.lit(0))["score"], F.lit(0.0)) for c in (before, x["after"]))
+        moved = F.when(stays, x["seat"]).when((above > WINDOW) & (above >= below), before).when(below > WINDOW, x["after"]).otherwise(x["seat"])
+        return F.concat(done, F.array(F.struct(x["truth_no"].alias("truth_no"), moved.alias("held"))))
+
+    moved = runs.select(*PAGE, F.explode(F.aggregate("lines", F.array().cast(kind), step)).alias("x")).select(*PAGE, "x.truth_no", "x.held")
+    return seen.where("agrees").select(*PAGE, "truth_no", F.col("seat").alias("held")).unionByName(moved)
+
+
+def _cut(held: DataFrame, found: DataFrame, truth: DataFrame, reads: DataFrame) -> DataFrame:
+    """engine, page_id, truth_no, read_no, piece: reads that hold several lines, cut, where the lines together are like the read."""
+    members = held.select(*PAGE, "truth_no", F.col("held").alias("read_no"), F.lit(True).alias("is_held"))
+    members = members.unionByName(found.select(*PAGE, "truth_no", "read_no", F.lit(False).alias("is_held")))
+    groups = members.join(truth, [*PAGE, "truth_no"]).groupBy(*PAGE, "read_no").agg(F.max("is_held").alias("any_held"), F.array_sort(F.collect_list(F.struct("truth_no", "t"))).alias("l")).where("any_held")
+    parts = F.transform("l", lambda x: x["t"])
+    whole = groups.join(reads, [*PAGE, "read_no"]).withColumn("joined", F.array_join(parts, ""))
+    like = 1 - any_distance(F.col("joined"), F.col("r")) / F.greatest(F.length("joined"), F.length("r")) >= GROUP
+    cut = whole.where(like).withColumn("pieces", split_by_parts(parts, F.col("text")))
+    zipped = F.arrays_zip(F.transform("l", lambda x: x["truth_no"]).alias("truth_no"), F.col("pieces").alias("piece"))
+    return cut.select(*PAGE, "read_no", F.explode(zipped).alias("x")).select(*PAGE, "x.truth_no", "read_no", "x.piece")
 
 
 def align(truth: DataFrame, reads: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """engine, page_id, truth_no, read_no, truth, read: one row per truth line of each page an engine read, and per spurious read.
 
     ``truth`` has page_id, line_no, text; ``reads`` has engine, page_id, line_no, text. read_no is
-    null for missed lines, truth_no for spurious ones. A page that an engine has no rows for gives
-    no rows; ``with_missing`` adds them as missed.
+    null for missed lines, truth_no for spurious ones. Lines that are blank in normal form take no
+    part; neighbours are lines whose numbers follow each other. A page that an engine has no rows
+    for gives no rows; ``with_missing`` adds them as missed. The lines and what is matched are staged.
     """
-    engines = reads.select("engine", "page_id").distinct()
-    side = lambda df, k: df.select("engine", "page_id", F.lit(k).alias("side"), F.col("line_no").cast("int").alias("line_no"), "text", tx.normalize(F.col("text")).alias("norm"))
-    rows = side(truth.join(engines, "page_id"), 0).unionByName(side(reads, 1))
-
-    def page(key: tuple[str, str], pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no", kind="stable")
-        t, r = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        made = align_page(t["text"].tolist(), r["text"].tolist(), t["norm"].tolist(), r["norm"].tolist(), threshold)
-        tn, rn, tt = t["line_no"].tolist(), r["line_no"].tolist(), t["text"].tolist()
-        out = [(*key, None if a is None else tn[a], None if b is None else rn[b], "" if a is None else tt[a], text) for a, b, text in made]
-        df = pd.DataFrame(out, columns=[c.split()[0] for c in PAIRS.split(", ")])
-        return df.astype({"truth_no": "Int32", "read_no": "Int32"})
-
-    return rows.groupBy("engine", "page_id").applyInPandas(page, PAIRS)
+    lines = _settled(truth, reads)
+    t = lines.where("side = 0").select(*PAGE, F.col("no").alias("truth_no"), F.col("text").alias("truth"), F.col("norm").alias("t"), "mate")
+    r = lines.where("side = 1").select(*PAGE, F.col("no").alias("read_no"), "text", F.col("norm").alias("r"), "mate")
+    open_lines = lambda k: lines.where(f"side = {k} and mate is null").select(*PAGE, F.col("no").alias("line_no"), "norm")
+    like = stage(best_first(candidates(open_lines(0), open_lines(1), threshold)), "like")
+    found = t.where("mate is not null").select(*PAGE, "truth_no", F.col("mate").alias("read_no")).unionByName(like)
+    own, whole = t.select(*PAGE, "truth_no", "t"), r.select(*PAGE, "read_no", "text", "r")
+    alone = t.where("mate is null").select(*PAGE, "truth_no", "t").join(like, [*PAGE, "truth_no"], "left_anti")
+    held = stage(_holders(alone, whole), "held")
+    pieces = stage(_cut(_with_neighbours(held, found, own, whole), found, own, whole), "pieces")
+    seats = found.join(pieces.select(*PAGE, "truth_no"), [*PAGE, "truth_no"], "left_anti").withColumn("piece", F.lit(None).cast("string")).unionByName(pieces)
+    matched = t.drop("mate").join(seats, [*PAGE, "truth_no"], "left").join(whole, [*PAGE, "read_no"], "left")
+    rows = matched.select(*PAGE, "truth_no", "read_no", "truth", F.coalesce("piece", "text", F.lit("")).alias("read"))
+    spurious = whole.join(seats.select(*PAGE, "read_no").distinct(), [*PAGE, "read_no"], "left_anti")
+    return rows.unionByName(spurious.select(*PAGE, F.lit(None).cast("int").alias("truth_no"), "read_no", F.lit("").alias("truth"), F.col("text").alias("read")))
 
 
 def with_missing(pairs: DataFrame, truth: DataFrame, engines: DataFrame) -> DataFrame:
-    """Pairs with every truth line of pages that an engine has nothing for as missed; ``engines`` has engine."""
+    """Pairs with every truth line of pages that an engine has nothing for as missed; ``engines`` has engine, one row per reader."""
     lines = truth.where(tx.normalize(F.col("text")) != "").select("page_id", F.col("line_no").cast("int").alias("truth_no"), F.col("text").alias("truth"))
-    wanted = lines.join(F.broadcast(engines.select("engine").distinct()))  # one row per reader
+    readers = engines.agg(F.collect_set("engine").alias("e"))  # the names of the readers, in one row
+    wanted = lines.join(F.broadcast(readers)).withColumn("engine", F.explode("e")).drop("e")
     lost = wanted.join(pairs.select("engine", "page_id").distinct(), ["engine", "page_id"], "left_anti")
     return pairs.unionByName(lost.select("engine", "page_id", "truth_no", F.lit(None).cast("int").alias("read_no"), "truth", F.lit("").alias("read")))
 
@@ -192,3 +222,11 @@ def nearest_line(lines: DataFrame, pool: DataFrame, keys: list[str]) -> DataFram
     p = pool.select(*keys, F.col("line_no").alias("pool_no"), F.col("text").alias("near"))
     scored = lines.join(p, keys).withColumn("d", cheap_distance(F.col("text"), F.col("near")))
     return scored.groupBy(*keys, "line_no", "text").agg(F.min(F.struct("d", "pool_no", "near")).alias("best")).select(*keys, "line_no", "text", "best.near", F.col("best.d").alias("distance"))
+
+
+def per_truth_line(pairs: DataFrame) -> DataFrame:
+    """engine, page_id, truth_no, truth, read, cer: what became of every truth line; one that wasn't read has a cer of 1."""
+    t, p = (tx.normalize(F.coalesce(F.col(c), F.lit(""))) for c in ("truth", "read"))
+    rows = pairs.where("truth_no is not null").withColumn("t", t).withColumn("p", p)
+    cer = F.when(F.col("read_no").isNull(), 1.0).otherwise(F.try_divide(any_distance(F.col("t"), F.col("p")).cast("double"), F.length("t").cast("double")))
+    return rows.select(*PAGE, "truth_no", "truth", "read", cer.alias("cer"))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from inkgauge.functions import names
 from inkgauge.functions import text as tx
 from inkgauge.operators import filters, layout, match, review, rollup, score, stability, suspect
-from inkgauge.llm.staging import stage
 from inkgauge.plans import reads as made
 from inkgauge.sources import store
 from inkgauge.plans.reads import READS_SQL, TRUTH_SQL, sql_ascii, sql_normalize
@@ -198,7 +197,7 @@ select r.engine, r.page_id, case when t.n >= 3 and cast(r.c * t.n as double) / c
 def merging_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages on which a reader's lines are at least twice as long as the truth's."""
     t = made.truth(spark, sf_dir)
-    return filters.merging_ratio(t, made.reads(spark, sf_dir, t))
+    return filters.merging_ratio(t, made.reads(spark, sf_dir))
 
 
 @query(f"""with {READS_SQL}, s as (select engine, doc, page_id, sum(len(regexp_extract_all(text, '[๐-๙]'))) as th, sum(len(regexp_extract_all(text, '[0-9]'))) as ar from reads group by engine, doc, page_id)
@@ -214,7 +213,7 @@ from p cross join (select distinct engine from reads) e left join d on d.engine
 def pending_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is still to be read where every third page is missing."""
     t = made.truth(spark, sf_dir)
-    r = made.reads(spark, sf_dir, t)
+    r = made.reads(spark, sf_dir)
     return filters.pending_counts(t.select("page_id").distinct(), r.select("engine").distinct(), r.where("page_no % 3 <> 0"))
 
 
@@ -228,14 +227,14 @@ r as (select *, row_number() over (partition by engine, page_id, norm order by l
 select r.engine, r.page_id, t.line_no as truth_no, r.line_no as read_no from t join r on t.page_id = r.page_id and t.norm = r.norm and t.k = r.k""")
 def equal_line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = made.truth(spark, sf_dir)
-    return match.equal_pairs(t, made.reads(spark, sf_dir, t))
+    return match.equal_pairs(t, made.reads(spark, sf_dir))
 
 
 @query()
 def line_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reader's lines matched with the truth: one to one, and merged lines cut back."""
     t = made.truth(spark, sf_dir)
-    return match.align(t, made.reads(spark, sf_dir, t))
+    return match.align(t, made.reads(spark, sf_dir))
 
 
 @query(f"""with {READS_SQL},
@@ -247,7 +246,7 @@ select engine, page_id, cast(length(t) as bigint) as page_chars, case when t <>
 def page_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error rate over whole pages."""
     t = made.truth(spark, sf_dir)
-    return score.page_error_rates(t, made.reads(spark, sf_dir, t).where("engine = 'beta'"))
+    return score.page_error_rates(t, made.reads(spark, sf_dir).where("engine = 'beta'"))
 
 
 @query()
@@ -285,8 +284,8 @@ def leaderboard_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truth and reads of all readers, aligned; pages that a reader lacks count as missed."""
     t = made.truth(spark, sf_dir)
-    r = made.reads(spark, sf_dir, t)
-    return match.with_missing(match.align(t, r), t, r.select("engine").distinct())
+    r = made.reads(spark, sf_dir)
+    return match.with_missing(match.align(t, r), t, made.readers(spark))
 
 
 @query()
@@ -298,16 +297,21 @@ def matched_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_page_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error rate over whole pages of all readers."""
     t = made.truth(spark, sf_dir)
-    return score.page_error_rates(t, made.reads(spark, sf_dir, t))
+    return score.page_error_rates(t, made.reads(spark, sf_dir))
 
 
 @query()
 def matched_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All readers by document and over all, best first. The made-up readers have no times, so seconds is null."""
-    pages = stage(matched_page_scores(spark, sf_dir), "page-scores")
-    runs = pages.select("engine", "page_id", F.lit(None).cast("double").alias("core_ms"))
-    docs = pages.select("page_id", filters.doc_of(F.col("page_id")).alias("doc")).distinct()
-    return score.leaderboard(pages, all_page_error_rates(spark, sf_dir), runs, docs)
+    """All readers by document and over all, best first; pages that failed or were never read are left out."""
+    runs = made.runs(spark, sf_dir).where("error is null")
+    docs = runs.select("page_id", filters.doc_of(F.col("page_id")).alias("doc")).distinct()
+    return score.leaderboard(matched_page_scores(spark, sf_dir), all_page_error_rates(spark, sf_dir), runs, docs)
+
+
+@query()
+def accuracy_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy of each class of characters, one column a reader."""
+    return score.accuracy_matrix(class_accuracy(spark, sf_dir))
 
 
 @query()

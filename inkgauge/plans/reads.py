@@ -8,7 +8,7 @@ and adds a header to each page, ``gamma-x`` and ``gamma-y`` share a family, and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgauge.functions import text as tx
@@ -20,35 +20,58 @@ FROM, TO = ACCENTED + LATIN + tx.ARABIC_DIGITS, "".join(THAI[LATIN.index(c)] for
 #: Letters that alpha confuses.
 SWAP_FROM, SWAP_TO = "กนส๓", "ถมศ๗"
 HEADER = "สำเนา"
+ENGINES = ("alpha", "beta", "gamma-x", "gamma-y")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
 
 
+def _page() -> Column:
+    return F.concat("source", F.lit("_p"), F.lpad(F.col("doc_id").cast("string"), 6, "0"))
+
+
+def _text(raw: Column) -> Column:
+    return F.regexp_replace(F.translate(F.lower(raw), FROM, TO), r"[^\x{20}-\x{7E}\x{0E00}-\x{0E7F}]", "")
+
+
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc, page_id, page_no, line_no, text, norm: the lines of every page. Dealt out by page before the text work."""
     d = documents(spark, sf_dir).repartition("doc_id")
     lines = d.select("source", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw"))
-    text = F.regexp_replace(F.translate(F.lower("raw"), FROM, TO), r"[^\x{20}-\x{7E}\x{0E00}-\x{0E7F}]", "")
-    page = F.concat("source", F.lit("_p"), F.lpad(F.col("doc_id").cast("string"), 6, "0"))
-    return lines.select(F.col("source").alias("doc"), page.alias("page_id"), F.col("doc_id").alias("page_no"), "line_no", text.alias("text")).withColumn("norm", tx.normalize(F.col("text")))
-
-
-def reads(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
-    """engine, doc, page_id, page_no, line_no, text, norm of four readers."""
-    t = truth(spark, sf_dir) if lines is None else lines
-    base = t.select("doc", "page_id", "page_no", "line_no", "text")
-    confused = F.when((F.col("page_no") + F.col("line_no")) % 5 == 0, F.translate("text", SWAP_FROM, SWAP_TO)).otherwise(F.col("text"))
-    alpha = base.where("line_no % 7 <> 3").withColumn("text", confused).withColumn("engine", F.lit("alpha"))
-    beta = base.withColumn("text", tx.thai_to_arabic_digits(F.col("text"))).withColumn("engine", F.lit("beta"))
-    heads = base.where("line_no = 0").withColumn("line_no", F.lit(-1)).withColumn("text", F.lit(HEADER)).withColumn("engine", F.lit("beta"))
-    pairs = base.groupBy("doc", "page_id", "page_no", F.floor(F.col("line_no") / 2).cast("int").alias("line_no")).agg(F.array_sort(F.collect_list(F.struct(F.col("line_no").alias("n"), F.col("text").alias("x")))).alias("l"))
-    merged = pairs.select("doc", "page_id", "page_no", "line_no", F.array_join(F.transform("l", lambda x: x["x"]), " ").alias("text"))
-    gammas = F.explode(F.array(F.lit("gamma-x"), F.lit("gamma-y")))
-    gamma = merged.withColumn("engine", gammas)
-    out = alpha.unionByName(beta).unionByName(heads).unionByName(gamma)
-    return out.select("engine", "doc", "page_id", "page_no", "line_no", "text").withColumn("norm", tx.normalize(F.col("text")))
+    return lines.select(F.col("source").alias("doc"), _page().alias("page_id"), F.col("doc_id").alias("page_no"), "line_no", _text(F.col("raw")).alias("text")).withColumn("norm", tx.normalize(F.col("text")))
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """engine, doc, page_id, page_no, line_no, text, norm of four readers.
+
+    A page's lines stand in one row while its readers are made up, so no reader scans for itself.
+    """
+    d = documents(spark, sf_dir).repartition("doc_id")
+    raw = F.split(F.coalesce("text", F.lit("")), "\n")
+    pages = d.select(F.col("source").alias("doc"), _page().alias("page_id"), F.col("doc_id").alias("page_no"), F.transform(raw, _text).alias("l"))
+    line = lambda engine, no, text: F.struct(F.lit(engine).alias("engine"), no.cast("int").alias("line_no"), text.alias("text"))
+    named = lambda engine: lambda x, k: line(engine, k, x)
+    confused = lambda x, i: F.when((F.col("page_no") + i) % 5 == 0, F.translate(x, SWAP_FROM, SWAP_TO)).otherwise(x)
+    alpha = F.filter(F.transform("l", lambda x, i: line("alpha", i, confused(x, i))), lambda x: x["line_no"] % 7 != 3)
+    beta = F.transform("l", lambda x, i: line("beta", i, tx.thai_to_arabic_digits(x)))
+    head = F.array(line("beta", F.lit(-1), F.lit(HEADER)))
+    pairs = F.transform(F.sequence(F.lit(0), ((F.size("l") - 1) / 2).cast("int")), lambda k: F.array_join(F.slice("l", k * 2 + 1, F.lit(2)), " "))
+    gammas = [F.transform(pairs, named(e)) for e in ("gamma-x", "gamma-y")]
+    rows = pages.select("doc", "page_id", "page_no", F.inline(F.concat(alpha, beta, head, *gammas)))
+    return rows.select("engine", "doc", "page_id", "page_no", "line_no", "text").withColumn("norm", tx.normalize(F.col("text")))
+
+
+def readers(spark: SparkSession) -> DataFrame:
+    """engine: the four readers."""
+    return spark.createDataFrame([(e,) for e in ENGINES], "engine string")
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """engine, page_id, core_ms, error: what became of each reader's call for each page; every 13th page fails for ``beta``."""
+    rows = documents(spark, sf_dir).select(F.explode(F.array(*map(F.lit, ENGINES))).alias("engine"), _page().alias("page_id"), "doc_id")
+    ms = (F.col("doc_id") % 97 + F.length("engine") * 10).cast("double")
+    return rows.select("engine", "page_id", ms.alias("core_ms"), F.when((F.col("engine") == "beta") & (F.col("doc_id") % 13 == 0), "no answer").alias("error"))
 
 
 # -- the same in SQL -------------------------------------------------------------------------------
@@ -81,6 +104,10 @@ raw as (select source as doc, doc_id as page_no, source || '_p' || lpad(cast(doc
 truth0 as (select doc, page_no, page_id, cast(line_no as int) as line_no, {sql_text('raw')} as text from raw),
 truth as (select *, {sql_normalize('text')} as norm from truth0)"""
 
+RUNS_SQL = """
+runs as (select engine, source || '_p' || lpad(cast(doc_id as varchar), 6, '0') as page_id, source as doc, cast(doc_id % 97 + length(engine) * 10 as double) as core_ms,
+           case when engine = 'beta' and doc_id % 13 = 0 then 'no answer' end as error from documents, (values ('alpha'), ('beta'), ('gamma-x'), ('gamma-y')) e(engine))"""
+
 READS_SQL = f"""{TRUTH_SQL},
 reads0 as (
   select 'alpha' as engine, doc, page_id, page_no, line_no, case when (page_no + line_no) % 5 = 0 then translate(text, '{SWAP_FROM}', '{SWAP_TO}') else text end as text from truth where line_no % 7 <> 3

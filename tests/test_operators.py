@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkgauge.functions import text as tx
+from inkgauge.functions.edits import partial_ratio, similarity, split_read
 from inkgauge.operators import filters, layout, match, review, rollup, score, stability, suspect
 from inkgauge.sources import store
 
@@ -48,10 +49,76 @@ def test_matching_is_one_to_one_and_equals_the_native_loop(spark):
     native = match.mutual_best(match.candidates(t, r))
     found = {(x["page_id"], x["truth_no"], x["read_no"]) for x in native.collect()}
     assert len({x[:2] for x in found}) == len({(x[0], x[2]) for x in found}) == len(found)
-    own = set()
+    streamed = match.best_first(match.candidates(t, r)).collect()
+    assert found == {(x["page_id"], x["truth_no"], x["read_no"]) for x in streamed} and len(streamed) == len(found)
     for p in truth:
-        own |= {(p, a, b) for a, b in match._greedy(truth[p], read[p], match.THRESHOLD).items()}
-    assert found == own
+        ranked = sorted(((similarity(a, b), i, j) for i, a in enumerate(truth[p]) for j, b in enumerate(read[p])), reverse=True)
+        mine = {}
+        for s, i, j in ranked:
+            if s >= match.THRESHOLD and i not in mine and j not in mine.values():
+                mine[i] = j
+        assert {x[1:] for x in found if x[0] == p} == set(mine.items())
+
+
+def plain_align(truth, reads):
+    """What ``align`` defines, for a page of lines without spaces, pair by pair."""
+    seat, whole = {}, []
+    for s, i, j in sorted(((similarity(a, b), i, j) for i, a in enumerate(truth) for j, b in enumerate(reads) if a and b), reverse=True):
+        if s >= match.THRESHOLD and i not in seat and j not in seat.values():
+            seat[i] = j
+    found = dict(seat)
+    for i, a in enumerate(truth):
+        inside = [(partial_ratio(a, b), -j) for j, b in enumerate(reads) if a and i not in found and len(b) > match.LONGER * len(a)]
+        if inside and max(inside)[0] > match.WINDOW:
+            seat[i] = -max(inside)[1]
+    for i in sorted(set(seat) - set(found)):
+        beside = [seat.get(i - 1), seat.get(i + 1)]
+        if seat[i] not in beside:
+            best = max(((partial_ratio(truth[i], reads[j]), -k, j) for k, j in enumerate(beside) if j is not None), default=(0, 0, 0))
+            seat[i] = best[2] if best[0] > match.WINDOW else seat[i]
+    out = {i: (j, reads[j]) for i, j in found.items()}
+    for j in {seat[i] for i in set(seat) - set(found)}:
+        members = sorted(i for i in seat if seat[i] == j)
+        if similarity("".join(truth[i] for i in members), reads[j]) >= match.GROUP:
+            out |= {i: (j, piece) for i, piece in zip(members, split_read([truth[i] for i in members], reads[j]))}
+    used = {j for j, _ in out.values()}
+    return {(i, *out.get(i, (None, ""))) for i, a in enumerate(truth) if a} | {(None, j, b) for j, b in enumerate(reads) if b and j not in used}
+
+
+def test_align_against_plain_pages(spark):
+    rng = random.Random(12)
+    letters = "กขคงจฉชซฌญ"
+    word = lambda lo, hi: "".join(rng.choices(letters, k=rng.randint(lo, hi)))
+    noise = lambda t, p: "".join(rng.choice(letters) if rng.random() < p else c for c in t)
+    truth, read = {}, {}
+    for k in range(60):
+        ls = [word(2, 14) for _ in range(rng.randint(1, 9))]
+        ls += rng.choices([*ls, ""], k=rng.randint(0, 2))
+        out, at = [], 0
+        while at < len(ls):
+            n = rng.choice([1, 1, 2, 3])
+            out.append(noise("".join(ls[at : at + n]), rng.choice([0, 0.05, 0.3])))
+            at += n
+        if rng.random() < 0.5:
+            rng.shuffle(out)
+        truth[f"p{k}"], read[f"p{k}"] = ls, [x for x in out if rng.random() < 0.9] + [word(1, 20)]
+    rows = match.align(lines(spark, truth), lines(spark, read, "a")).collect()
+    got = {p: {(r["truth_no"], r["read_no"], r["read"]) for r in rows if r["page_id"] == p} for p in truth}
+    assert len(rows) == sum(map(len, got.values()))
+    assert got == {p: plain_align(truth[p], read[p]) for p in truth}
+
+
+def test_unread_lines_have_a_cer_of_one(spark):
+    got = match.per_truth_line(aligned(spark, ["กขคง", "จฉช"], ["กขคข"])).orderBy("truth_no").collect()
+    assert [(r["truth_no"], r["cer"]) for r in got] == [(0, 0.25), (1, 1.0)]
+
+
+def test_long_lines_have_the_same_distance(spark):
+    rng = random.Random(7)
+    a = "".join(rng.choices("กขค ab", k=3000))
+    b = "".join(rng.choice("กข") if rng.random() < 0.2 else c for c in a)
+    df = spark.createDataFrame([(a, b), (a, a), ("x", b), (None, a)], "a string, b string")
+    assert df.where(~match.any_distance(F.col("a"), F.col("b")).eqNullSafe(F.levenshtein("a", "b").cast("long"))).count() == 0
 
 
 def test_equal_pairs_are_part_of_the_greedy_match(spark):
@@ -228,12 +295,17 @@ def test_all_readers_are_scored_by_matching(spark, monkeypatch):
     read = lines(spark, {"a_p1": WRAPPED, "a_p2": ["x"]}, "alpha").unionByName(lines(spark, {"a_p1": ["".join(WRAPPED)]}, "gamma-x"))
     monkeypatch.setattr(made, "truth", lambda *_: truth)
     monkeypatch.setattr(made, "reads", lambda *_: read)
+    monkeypatch.setattr(made, "ENGINES", ("alpha", "gamma-x"))
+    runs = [(e, p, ms, None if ms else "no answer") for e, p, ms in (("alpha", "a_p1", 9.0), ("alpha", "a_p2", 1.0), ("gamma-x", "a_p1", 2.0), ("gamma-x", "a_p2", None))]
+    monkeypatch.setattr(made, "runs", lambda *_: spark.createDataFrame(runs, "engine string, page_id string, core_ms double, error string"))
     got = {(r["engine"], r["page_id"]): (r["truth_lines"], r["found"], r["missed"], r["spurious"], r["edits"]) for r in queries.matched_page_scores(spark, "").collect()}
     assert got == {("alpha", "a_p1"): (3, 3, 0, 0, 0), ("alpha", "a_p2"): (2, 0, 2, 1, 0), ("gamma-x", "a_p1"): (3, 3, 0, 0, 0), ("gamma-x", "a_p2"): (2, 0, 2, 0, 0)}
     board = {r["engine"]: r for r in queries.matched_leaderboard(spark, "").where("doc is null").collect()}
-    assert board["gamma-x"]["recall"] == board["alpha"]["recall"] == 3 / 5 and board["gamma-x"]["cer"] == 0
+    assert board["alpha"]["recall"] == 3 / 5 and board["gamma-x"]["recall"] == 1 and board["gamma-x"]["cer"] == 0 and board["gamma-x"]["seconds"] == 0.002
+    matrix = {r["class"]: r for r in queries.accuracy_by_class(spark, "").collect()}
+    assert matrix["thai_digit"]["alpha"] == matrix["thai_digit"]["gamma-x"] == 1
     assert {r["engine"] for r in queries.class_accuracy(spark, "").collect()} == {r["engine"] for r in queries.all_page_error_rates(spark, "").collect()} == {"alpha", "gamma-x"}
-    assert queries.matched_leaders(spark, "").first()["best_recall"] == "alpha"
+    assert queries.matched_leaders(spark, "").first()["best_recall"] == "gamma-x"
 
 
 def test_histories_and_repairs_take_whole_texts(spark, tmp_path, monkeypatch):

@@ -28,7 +28,8 @@ def test_spaces_digits_and_classes(spark):
     assert one(spark, tx.thai_to_arabic_digits, "๒๕๖๙ ๐") == "2569 0"
     found = [one(spark, tx.classify_char, c) for c in "ก่า๕5Aฯ é"]
     assert found == ["thai_consonant", "thai_vowel_mark", "thai_vowel_mark", "thai_digit", "arabic_digit", "latin", "punct_symbol", "other", "other"]
-    assert found == [edits.char_class(c) for c in "ก่า๕5Aฯ é"]
+    counted = dict(zip(tx.CLASSES, spark.createDataFrame([("ก่า๕5Aฯ é",)], "t string").select(*[c.alias(str(k)) for k, c in enumerate(tx.class_counts(F.col("t")))]).first()))
+    assert counted == {k: found.count(k) for k in tx.CLASSES}
 
 
 @pytest.mark.parametrize(
@@ -88,13 +89,47 @@ def test_long_texts_are_halved(monkeypatch):
     assert edits.distance(a, b) == sum(max(a1 - a0, b1 - b0) for tag, a0, a1, b0, b1 in blocks if tag != "equal")
 
 
-def test_scores():
-    s = edits.score("วันที่๒", "วันที่๗")
-    assert s["edits"] == 1 and s["total"]["thai_digit"] == 1 and "thai_digit" not in s["right"] and ("wrong", "๗", "๒") in s["spans"] and s["confusions"] == [("๒", "๗", 1)]
-    assert edits.score("ประกาศ", "ประกาศ")["cer"] == 0 and edits.score("ประกาศ", "ประ")["spans"][-1] == ("missing", "กาศ", "กาศ")
-    assert edits.score("", "ก") == {"truth_len": 0, "edits": 0, "cer": 1.0, "spans": [("wrong", "ก", "")], "right": {}, "total": {}, "confusions": []}
-    assert edits.partial_ratio("กขค", "กกขคค") == 100 and edits.split_like(["ab", "cd"], "a b c d") == ["a b", "c d"]
-    assert edits.index_map("abc", "abc") == [0, 1, 2, 3]
+def test_scores(spark):
+    from inkgauge.operators import score
+
+    rows = [("วันที่ ๒", "วันที่ ๗"), ("ประกาศ", "ประกาศ"), ("ประกาศ", "ประ"), ("", "ก"), ("กข", "กxyข"), ("ก", "xy"), ("", "")]
+    got = score.line_details(spark.createDataFrame(rows, "truth string, read string").coalesce(1)).collect()
+    assert [(r["truth_len"], r["edits"]) for r in got] == [(7, 1), (6, 0), (6, 3), (0, 0), (2, 2), (1, 2), (0, 0)]
+    assert [r["cer"] for r in got] == [1 / 7, 0, 0.5, 1, 1, 2, 0]
+    assert got[0]["total"]["thai_digit"] == 1 and "thai_digit" not in got[0]["right"] and ("wrong", "๗", "๒") in map(tuple, got[0]["spans"])
+    spans = [[tuple(s) for s in r["spans"]] for r in got]
+    assert spans[1] == [("ok", "ประกาศ", "")] and spans[2][-1] == ("missing", "กาศ", "กาศ") and spans[3] == [("wrong", "ก", "")] and spans[6] == []
+    assert spans[4] == [("ok", "ก", ""), ("wrong", "xy", ""), ("ok", "ข", "")] and spans[5] == [("wrong", "xy", "ก")]
+
+
+def test_merged_reads_are_cut(spark):
+    assert edits.split_read(["ab", "cd"], "a b c d") == ["a b", "c d"] and edits.split_read(["ab", ""], "x") == ["x", ""]
+    assert edits.split_read(["ab", "cd"], " ") == [" ", ""] and edits.split_read(["abc", "def"], "ab!def") == ["ab!", "def"]
+    rng = random.Random(4)
+    for _ in range(200):
+        parts = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(3)]
+        assert edits.split_read(parts, " ".join(parts)) == parts and "".join(edits.split_read(parts, "x".join(parts))) == "x".join(parts)
+
+
+def test_best_window_is_the_best_of_all():
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b, 1):
+                new.append(row[j - 1] + 1 if x == y else max(row[j], new[-1]))
+            row = new
+        return row[-1]
+
+    rng = random.Random(11)
+    for _ in range(400):
+        a, b = ("".join(rng.choices("abc", k=rng.randint(1, 14))) for _ in range(2))
+        short, long = sorted((a, b), key=len)
+        n, m = len(short), len(long)
+        sides = [(short, long), (long, short)][: 2 if n == m else 1]
+        best = max(200 * common(x, w) / (n + len(w)) for x, y in sides for w in {y[max(0, i) : i + n] for i in range(1 - n, m)} - {""})
+        assert edits.partial_ratio(a, b) == pytest.approx(best)
+        assert (edits.partial_ratio(a, b, 80) > 80) == (best > 80)
 
 
 def test_names(spark):
