@@ -1,16 +1,16 @@
 """Exact deduplication, native: frequent digests are settled on the map side, the rest by a shuffle.
 
 Texts are equal when identical without ASCII white space; null counts as empty. Of equal texts the
-row with the most code points, then the smallest doc_id (null last), stays. Which of fully tied
-rows stays is open, but exactly one does. Empty tables give empty tables.
+row with the most code points, then the smallest doc_id (null last), then the least hash of the text
+stays. Which of fully tied rows stays is open, but exactly one does. Empty tables give empty tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkgauge.llm.columns import ASCII_SPACE, fresh
+from inkgauge.llm.columns import ASCII_SPACE, tag, without
 from inkgauge.llm.staging import stage
 
 #: A digest with at least this share of the rows is found as frequent; at most 1/SUPPORT digests are.
@@ -26,15 +26,24 @@ def code_points(text: Column) -> Column:
 
 
 def narrow(docs: DataFrame) -> DataFrame:
-    """doc_id, sha and len of every row, written once: later steps don't read texts again."""
+    """doc_id, sha, len and tag of every row, written once: later steps don't read texts again."""
     return stage(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("sha"), code_points(F.col("text")).alias("len")),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("sha"), code_points(F.col("text")).alias("len"), tag(F.col("text")).alias("tag")),
         "digests",
     )
 
 
+def _best(rows: DataFrame) -> DataFrame:
+    """sha, size, keep_id, keep_tag, keep_len of each digest: combined where rows are read, so copies never gather in a task."""
+    best = rows.groupBy("sha").agg(
+        F.count("*").alias("size"),
+        F.min(F.struct((-F.col("len")).alias("neg"), F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("best"),
+    )
+    return best.select("sha", "size", F.col("best.doc_id").alias("keep_id"), F.col("best.tag").alias("keep_tag"), (-F.col("best.neg")).alias("keep_len"))
+
+
 def frequent_winners(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """sha, size, keep_id, keep_len, tied of the frequent digests: 1/support rows at most.
+    """sha, size, keep_id, keep_tag, keep_len of the frequent digests: 1/support rows at most.
 
     ``freqItems`` is the Misra-Gries sketch: it misses no digest above the support but may name
     rarer ones. One more pass counts the named ones exactly and finds the row that stays; those
@@ -42,57 +51,41 @@ def frequent_winners(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
     """
     named = rows.stat.freqItems(["sha"], support).select(F.explode("sha_freqItems").alias("sha"))
     hot = rows.join(F.broadcast(named), "sha")  # at most 1/support rows by the sketch's own bound
-    best = hot.groupBy("sha").agg(
-        F.count("*").alias("size"),
-        F.min(F.struct((-F.col("len")).alias("neg"), F.col("doc_id").isNull().alias("none"), "doc_id")).alias("best"),
-    ).where("size > 1")
-    best = best.select("sha", "size", F.col("best.doc_id").alias("keep_id"), (-F.col("best.neg")).alias("keep_len"))
-    tied = rows.join(F.broadcast(best), "sha").where("doc_id <=> keep_id and len = keep_len")
-    return stage(tied.groupBy("sha", "size", "keep_id", "keep_len").agg(F.count("*").alias("tied")), "winners")
+    return stage(_best(hot).where("size > 1"), "winners")
 
 
-def exact_groups(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = narrow(docs)
+def _judged(rows: DataFrame, support: float) -> DataFrame:
+    """``rows`` with size, keep_id and wins: frequent digests by a broadcast, the rest by a shuffle of narrow rows."""
     winners = frequent_winners(rows, support)
-    marked = rows.join(F.broadcast(winners), "sha", "left")
-    out = ("doc_id", "keep_id", "group_size", "kept", "sha")
-    losers = (
-        marked.where("size is not null and not (doc_id <=> keep_id and len = keep_len)")
-        .select("doc_id", "keep_id", F.col("size").alias("group_size"), F.lit(False).alias("kept"), "sha")
-    )
-    won = winners.select(
-        F.col("keep_id").alias("doc_id"), "keep_id", F.col("size").alias("group_size"),
-        F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "tied"), lambda i: i == 1)).alias("kept"), "sha",
-    )
-    group = Window.partitionBy("sha")
-    ranked = group.orderBy(F.desc("len"), F.asc_nulls_last("doc_id"))
-    others = marked.where("size is null").select(
-        "doc_id",
-        F.first("doc_id").over(ranked).alias("keep_id"),
-        F.count("*").over(group).alias("group_size"),
-        (F.row_number().over(ranked) == 1).alias("kept"),
-        "sha",
-    )
-    return losers.select(*out).unionByName(won.select(*out)).unionByName(others.select(*out)).withColumnRenamed("sha", "text_sha256")
+    hot = rows.join(F.broadcast(winners), "sha")  # 1/support rows
+    rest = rows.join(F.broadcast(winners.select("sha")), "sha", "left_anti")
+    judged = hot.unionByName(rest.join(_best(rest), "sha"), allowMissingColumns=True)
+    return judged.withColumn("wins", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("len") == F.col("keep_len")) & (F.col("tag") == F.col("keep_tag")))
+
+
+def exact_groups(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Null, empty and blank texts are equal to each other. Fully tied rows are counted, and one of them is kept.
+    """
+    judged = _judged(narrow(docs), support)
+    losers = judged.where("not wins").select("doc_id", "keep_id", "size", F.lit(False).alias("kept"), "sha")
+    tied = judged.where("wins").groupBy("doc_id", "keep_id", "size", "sha").agg(F.count("*").alias("n"))
+    won = tied.select("doc_id", "keep_id", "size", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "n"), lambda i: i == 1)).alias("kept"), "sha")
+    return losers.unionByName(won).withColumnsRenamed({"size": "group_size", "sha": "text_sha256"})
 
 
 def exact_dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns: one of each group of equal texts, as in ``exact_groups``.
 
-    Rows of a frequent digest that can't win go where they are read; what is left is dealt out by
-    digest once, and each task passes on at most one row of a digest.
+    All is decided on narrow rows; the ids of those that go are staged, and texts are passed by them
+    once. Null and empty texts are one group, of fully tied rows an open one stays, an empty table
+    gives an empty table, and any other column keeps its name and values.
     """
-    winners = frequent_winners(narrow(docs), support)
-    sha, size, rank = fresh(docs, "_sha"), fresh(docs, "_len"), fresh(docs, "_rank")
-    known = winners.select(F.col("sha").alias(sha), F.col("keep_id").alias(f"{sha}_id"), F.col("keep_len").alias(f"{sha}_len"))
-    left = (
-        docs.withColumn(sha, digest(F.col("text"))).withColumn(size, code_points(F.col("text")))
-        .join(F.broadcast(known), sha, "left")
-        .where(F.col(f"{sha}_len").isNull() | (F.col("doc_id").cast("long").eqNullSafe(F.col(f"{sha}_id")) & (F.col(size) == F.col(f"{sha}_len"))))
-    )
-    order = Window.partitionBy(sha).orderBy(F.desc(size), F.asc_nulls_last("doc_id"))
-    return left.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*docs.columns)
+    judged = stage(_judged(narrow(docs), support), "judged")
+    gone = stage(judged.where("not wins").select("doc_id", "tag").distinct(), "gone")
+    repeated = stage(judged.where("wins").groupBy("doc_id", "tag").count().where("count > 1").select("doc_id", "tag"), "repeated")
+    return without(docs, gone, repeated)
 
 
 EXACT_SQL = r"""

@@ -1,42 +1,5 @@
-"""Tables that operators write between jobs.
+"""The library's staged tables, for the corpus operators."""
 
-A staged table cuts lineage and survives the loss of an executor: it is plain Parquet in the
-folder the cluster names in ``spark.checkpoint.dir``, which driver and executors share.
-"""
+from inkgauge.sources.staged import new_path, scope, shared_folder, stage, stage_alone
 
-from __future__ import annotations
-
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own_folder: str | None = None
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only on a local master without one."""
-    global _own_folder
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if _own_folder is None:
-        _own_folder = tempfile.mkdtemp(prefix="inkgauge-")
-        atexit.register(shutil.rmtree, _own_folder, True)
-    return "file://" + _own_folder
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and return the table read back."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["new_path", "scope", "shared_folder", "stage", "stage_alone"]
