@@ -256,11 +256,26 @@ def test_mixing(documents, odd, empty):
     total = sum(r["size"] for r in got)
     targets = {(r["source_size"], r["target"]) for r in mixing.source_targets(mixing.document_sizes(documents)).collect()}
     assert abs(sum(t for _, t in targets) - 1.5 * total) < 1 and all(t <= 2 * s + 1e-6 for s, t in targets)
-    assert abs(sum(r["taken"] for r in got) - 1.5 * total) < 0.2 * total
+    longest, by_source, of = collections.Counter(), collections.Counter(), {r["doc_id"]: r["source"] for r in documents.collect()}
+    for r in got:
+        by_source[of[r["doc_id"]]] += r["taken"]
+        longest[of[r["doc_id"]]] = max(longest[of[r["doc_id"]]], r["size"])
+    target = {of[r["doc_id"]]: r["target"] for r in got}
+    assert all(abs(by_source[s] - target[s]) <= longest[s] / 2 + 1e-6 for s in target)  # the document at which the words cross
     assert mixing.mix(documents).count() == sum(r["taken"] // r["size"] for r in got if r["size"])
     assert mixing.mix_report(odd).count() == len(ODD) and mixing.mix(odd).columns == odd.columns and mixing.mix_report(empty).count() == 0
 
 
+def test_equal_rows_are_mixed_each_for_itself(spark):
+    data = [(None, "one two three", "a")] * 300 + [(7, "four five", "b")] * 300 + [(k, "six", "c") for k in range(300)] + [(1, None, "c"), (2, "", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").withColumn("_nth", F.lit("x"))
+    taken = {r["source"]: r["n"] for r in mixing.mix(docs).groupBy("source").agg(F.sum(F.size(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != ""))).alias("n")).collect()}
+    want = {r["source"]: r["target"] for r in mixing.source_targets(mixing.document_sizes(docs)).collect()}
+    assert all(abs(taken.get(s, 0) - want[s]) <= 1.5 for s in "abc")
+    report = mixing.mix_report(docs).collect()
+    assert len(report) == len(data) and sum(r["taken"] for r in report) == sum(n or 0 for n in taken.values())
+
+
 # -- near duplicates -----------------------------------------------------------------------------------------
 
 
