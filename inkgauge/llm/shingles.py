@@ -1,13 +1,7 @@
-"""Texts whose sets of five-word shingles are alike: candidates by MinHash bands, every link checked exactly.
-
-A text's signature has BANDS bands of ROWS smallest hashes; texts that agree in a band meet in a
-bucket. At a similarity of 0.8 all bands differ with a chance of (1 - 0.8^3)^14, 1 in 23,000. A pair
-that met is a link only if the similarity of its two sets, taken from the texts, reaches the bound.
-"""
+"""Sets of five-word shingles of whole texts, and the exact similarity of pairs of texts."""
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,20 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgauge.llm.components import connected_components
 from inkgauge.llm.staging import stage
 
 WIDTH, AT_LEAST = 5, 0.8
-BANDS, ROWS = 14, 3
-#: Members up to which all pairs of a bucket are candidates; in larger ones each member meets PIVOTS others, the same for all.
-BUCKET, PIVOTS = 16, 3
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_rng = random.Random(5)
-_MULTIPLY = np.array([_rng.getrandbits(64) | 1 for _ in range(BANDS * ROWS)], np.uint64)
-_MASKS = [0] + [_rng.getrandbits(62) for _ in range(PIVOTS - 1)]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_BLOCK = 1 << 14
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -56,44 +42,14 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def band_keys(shingles: np.ndarray) -> list[int]:
-    """A key for each band, from the smallest hashes of the set."""
-    least = np.full(len(_MULTIPLY), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), _BLOCK):
-        mixed = shingles[at : at + _BLOCK, None] * _MULTIPLY
-        mixed ^= mixed >> np.uint64(31)
-        least = np.minimum(least, mixed.min(axis=0))
-    return [xxhash.xxh64_intdigest(least[i : i + ROWS].tobytes(), i) for i in range(0, len(least), ROWS)]
-
-
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
-
-
-def candidates(texts: DataFrame) -> DataFrame:
-    """(tag, text) -> distinct pairs (u, v) of tags that meet in a bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [[_signed(k) for k in band_keys(shingle_set(t.as_py()))] for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("tag"), pa.array(keys, pa.list_(pa.int64()))], ["tag", "bands"])
-
-    bands = texts.select("tag", "text").mapInArrow(run, "tag long, bands array<long>")
-    met = stage(bands.select("tag", F.explode("bands").alias("key")).distinct(), "bands")
-    buckets = stage(met.groupBy("key").agg(F.count("*").alias("n"), *[F.min(F.col("tag").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"p{k}") for k, m in enumerate(_MASKS)]).where("n > 1"), "buckets")
-    small = met.join(buckets.where(F.col("n") <= BUCKET).select("key"), "key").groupBy("key").agg(F.collect_list("tag").alias("l"))
-    pairs = small.select(F.explode("l").alias("u"), "l").select("u", F.explode("l").alias("v")).where("u < v")  # BUCKET**2 at most for a bucket
-    large = buckets.where(F.col("n") > BUCKET).select("key", F.array(*[f"p{k}" for k in range(PIVOTS)]).alias("p"))
-    stars = met.join(large, "key").select(F.col("tag").alias("u"), F.explode("p").alias("v")).where("u <> v")
-    return stage(pairs.unionByName(stars).distinct(), "candidates")
+def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, at_least: float = AT_LEAST) -> DataFrame:
+    """(u, v) of class ids -> the pairs whose shingle sets have a similarity of ``at_least`` or more, staged.
 
-
-def links(docs: DataFrame, at_least: float = AT_LEAST) -> DataFrame:
-    """(tag, text) -> (u, v): the candidates whose shingle sets have a similarity of ``at_least`` or more."""
-    pairs = candidates(docs)
-    asked = pairs.select(F.col("u").alias("tag")).unionByName(pairs.select(F.col("v").alias("tag"))).distinct()
-    texts = stage(docs.join(asked, "tag", "left_semi").groupBy("tag").agg(F.min("text").alias("text")), "candidate-texts")
-    side = lambda tag, text: texts.select(F.col("tag").alias(tag), F.col("text").alias(text))
+    ``classes`` has cid, k1, k2, the hashes of a class's text, and ``docs`` k1, k2, text: only texts of pairs travel.
+    """
+    asked = stage(pairs.select(F.col("u").alias("cid")).unionByName(pairs.select(F.col("v").alias("cid"))).distinct().join(classes.select("cid", "k1", "k2"), "cid"), "asked")
+    texts = stage(docs.join(asked, ["k1", "k2"]).groupBy("cid").agg(F.min("text").alias("text")), "candidate-texts")
+    side = lambda cid, text: texts.select(F.col("cid").alias(cid), F.col("text").alias(text))
     both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,12 +58,4 @@ def links(docs: DataFrame, at_least: float = AT_LEAST) -> DataFrame:
             good = [similarity(read(a.as_py()), read(b.as_py())) >= at_least for a, b in zip(batch.column("a"), batch.column("b"))]
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return stage(both.mapInArrow(run, "u long, v long"), "shingle-links")
-
-
-def similar_groups(docs: DataFrame, at_least: float = AT_LEAST) -> DataFrame:
-    """doc_id, tag (the text's hash) and root, equal for rows that links connect."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
-    roots = connected_components(links(rows.select("tag", "text"), at_least)).withColumnRenamed("node", "tag")
-    return rows.select("doc_id", "tag").join(roots, "tag", "left").select("doc_id", "tag", F.coalesce("root", "tag").alias("root"))
+    return stage(both.sortWithinPartitions("u").mapInArrow(run, "u long, v long"), "shingle-links")

@@ -15,12 +15,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgauge.llm.columns import fresh
+from inkgauge.llm.columns import without
 from inkgauge.llm.components import connected_components
-from inkgauge.llm.shingles import AT_LEAST, similar_groups
+from inkgauge.llm.shingles import AT_LEAST, links
 from inkgauge.llm.staging import stage
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -213,18 +213,179 @@ def near_duplicate_groups(docs: DataFrame, radius: int = 4, width: int = 4) -> D
     return rows.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+#: Seeds of the word fingerprints under which near duplicates are sought, and the differing bits that make a candidate.
+SEEDS, RADIUS = 3, 4
+#: Members up to which all pairs of a bucket are candidates at once; larger ones begin with links that span them.
+PAIRS = 24
+#: Members of a block in which the rest of a larger bucket is compared.
+BLOCK = 2048
+
+_SEED_MIX = np.random.default_rng(12).integers(1, 1 << 63, SEEDS, dtype=np.uint64)
+
+
+def word_fingerprints(text: str | None) -> list[int]:
+    """SimHashes of a text's words, repeats counted, under each seed; texts without words have zeros."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not words:
+        return [0] * SEEDS
+    counts: dict[bytes, int] = {}
+    for w in words:
+        counts[w] = counts.get(w, 0) + 1
+    digests = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in counts), np.uint64, len(counts))
+    weight = np.fromiter(counts.values(), np.int64, len(counts))
+    out = []
+    for mix in _SEED_MIX:
+        h = (digests ^ mix) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        total = np.zeros(64, np.int64)
+        for at in range(0, len(h), _BLOCK):
+            bits = np.unpackbits(h[at : at + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            total += weight[at : at + _BLOCK] @ bits
+        out.append(_signed(int.from_bytes(np.packbits(total * 2 > len(words), bitorder="little").tobytes(), "little")))
+    return out
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """cid, k1, k2 and fps of each distinct text, staged; two 64-bit hashes tell texts apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [word_fingerprints(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(fps, pa.list_(pa.int64()))], ["k1", "k2", "fps"])
+
+    made = stage(rows.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, fps array<long>"), "word-fingerprints")
+    return stage(made.groupBy("k1", "k2").agg(F.first("fps").alias("fps")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+
+
+def _tables(classes: DataFrame) -> DataFrame:
+    """t, key, cid, fp: every class in every covering table of every seed."""
+    masks = [_signed(m) for m in covering_masks(RADIUS)]
+    fps = classes.select("cid", F.posexplode("fps").alias("s", "fp"))
+    tables = fps.select("cid", "s", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("m", "key"))
+    return tables.select((F.col("s") * len(masks) + F.col("m")).alias("t"), "key", "cid", "fp")
+
+
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b) <= RADIUS
+
+
+def _first_pairs(starts: list[int], cid: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members of buckets -> all near pairs of small ones, and of others links that span what is near."""
+    u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in zip(starts, starts[1:]):
+        if b - a < 2:
+            continue
+        c, f = cid[a:b], fp[a:b]
+        if b - a <= PAIRS:
+            i, j = np.nonzero(np.triu(_near(f[:, None], f[None, :]), 1))
+            u.append(c[i])
+            v.append(c[j])
+            continue
+        waiting = np.argsort(c)
+        while len(waiting):  # the least class of what is left, and all that is near it, and so on
+            front, waiting = waiting[:1], waiting[1:]
+            while len(front) and len(waiting):
+                i, front = front[0], front[1:]
+                near = _near(f[waiting], f[i])
+                u.append(np.full(int(near.sum()), c[i]))
+                v.append(c[waiting[near]])
+                front, waiting = np.append(front, waiting[near]), waiting[~near]
+    u, v = np.concatenate(u), np.concatenate(v)
+    return np.minimum(u, v), np.maximum(u, v)
+
+
+def _candidate_pairs(tables: DataFrame) -> DataFrame:
+    """u, v: pairs of classes with a fingerprint within the radius, enough to span every bucket; staged."""
+    dealt = tables.repartition("t", "key").sortWithinPartitions("t", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4
+        for batch in _with_end(batches):
+            if batch is not None:
+                held = [np.concatenate((h, batch.column(i).to_numpy().astype(np.int64))) for i, h in enumerate(held)]
+            t, key, cid, fp = held
+            new = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
+            last = len(t) if batch is None or len(t) and (not len(new) and len(t) > BUCKET_LIMIT) else (int(new[-1]) if len(new) else 0)
+            if last:
+                starts = [0, *new[new < last].tolist(), last]
+                u, v = _first_pairs(starts, cid[:last], fp[:last].view(np.uint64))
+                both = np.unique(np.stack((u, v)), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["u", "v"])
+                held = [h[last:] for h in held]
+
+    return stage(dealt.mapInArrow(run, "u long, v long").distinct(), "candidates")
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _other_pairs(tables: DataFrame, roots: DataFrame) -> DataFrame:
+    """u, v: all pairs within the radius that share a bucket of more than PAIRS members but, so far, no component; staged.
+
+    Buckets whose members are in one component have none. Others are dealt out as pairs of blocks.
+    """
+    placed = tables.join(roots, "cid")
+    mixed = placed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(f"n > {PAIRS} and lo <> hi")
+    open_buckets = stage(mixed.select("t", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open-buckets")
+    rows = placed.join(open_buckets, ["t", "key"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = ["t", "key", "b1", "b2"]
+    rows = rows.select("t", "key", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "cid", "fp", "root")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        cid, fp, root, block = (table[c].to_numpy() for c in ("cid", "fp", "root", "block"))
+        bits, u, v = fp.view(np.uint64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        apart = key[2].as_py() != key[3].as_py()
+        for at in range(len(cid)):
+            near = _near(bits[at + 1 :], bits[at]) & (root[at + 1 :] != root[at])
+            if apart:
+                near &= block[at + 1 :] != block[at]
+            u.append(np.full(int(near.sum()), cid[at]))
+            v.append(cid[at + 1 :][near])
+        u, v = np.concatenate(u), np.concatenate(v)
+        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    return stage(rows.groupBy(*keys).applyInArrow(run, "u long, v long").distinct(), "other-candidates")
+
+
+def similar_groups(docs: DataFrame, at_least: float = AT_LEAST) -> DataFrame:
+    """doc_id, k1, k2 (hashes of the text) and root, equal for rows that links connect.
+
+    Candidates are texts of which one of three SimHashes of words is within 4 bits; the covering
+    tables miss no such pair. A candidate is a link if the Jaccard similarity of the two whole sets
+    of five-word shingles is ``at_least`` or more. Pairs within a bucket that are already connected
+    need no look; all others get one, however large the bucket.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(4), text).alias("k2"), text.alias("text"))
+    classes = _classes(rows)
+    tables = _tables(classes)
+    found = links(_candidate_pairs(tables), classes, rows, at_least)
+    named = lambda roots: classes.select("cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("root"))
+    roots = connected_components(found)
+    more = _other_pairs(tables, stage(named(roots), "first-roots"))
+    if not more.isEmpty():
+        roots = connected_components(found.unionByName(links(more, classes, rows, at_least)))
+    told = classes.select("cid", "k1", "k2").join(named(roots), "cid").select("k1", "k2", "root")
+    return rows.select("doc_id", "k1", "k2").join(told, ["k1", "k2"])
+
+
 def near_dedup(docs: DataFrame, at_least: float = AT_LEAST) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group of near duplicates, that with the smallest doc_id (null last).
 
-    Rows link when their sets of five-word shingles have a Jaccard similarity of ``at_least`` or more
-    (see ``shingles``); texts without words are one group. Of rows of the group with that doc_id one
-    stays. Rows keep all their columns. An empty table gives an empty table.
+    Rows are near duplicates as ``similar_groups`` says; texts without words are one group. Of rows
+    of the group with that doc_id one stays. Rows keep all their columns. An empty table gives an
+    empty table.
     """
     groups = stage(similar_groups(docs, at_least), "groups")
-    best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("best"))
-    first = best.select(F.col("best.doc_id").alias("_keep_id"), F.col("best.tag").alias("_keep_tag")).distinct()
-    tag = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    kept = docs.join(first, docs["doc_id"].cast("long").eqNullSafe(first["_keep_id"]) & (tag == first["_keep_tag"]), "left_semi")
-    rank = fresh(docs, "_rank")
-    one = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
-    return kept.withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1).drop(rank)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    best = groups.groupBy("root").agg(F.min(order).alias("b"), F.count("*").alias("n")).where("n > 1")
+    wins = F.col("doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("k1") == F.col("b.k1")) & (F.col("k2") == F.col("b.k2"))
+    judged = stage(groups.join(best, "root").select("doc_id", F.col("k1").alias("tag"), wins.alias("wins")), "judged")
+    gone = stage(judged.where("not wins").select("doc_id", "tag").distinct(), "gone")
+    repeated = stage(judged.where("wins").groupBy("doc_id", "tag").count().where("count > 1").select("doc_id", "tag"), "repeated")
+    return without(docs, gone, repeated)
