@@ -4,7 +4,8 @@ A token table is a folder with two Parquet tables. ``dictionary`` has one row: t
 SHA-256, and the bytes per id. ``blocks`` has one row per block of documents in ascending doc_id
 order: the ids of each document, compressed by themselves with the shared dictionary, stand one
 after the other in ``payload``; ``offset`` says where each begins, so one short document is read by
-one slice and one decompression. Blocks carry their first and last doc_id for pruned lookups.
+one slice and one decompression. Blocks carry their first and last doc_id that
+isn't null for pruned lookups.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from inkgauge.llm.columns import spread
 from inkgauge.llm.encode import encoder, vocabulary_path
 from inkgauge.llm.staging import new_path
 
-#: The dictionary is trained on about this many documents (by hash; twice as many at most) of at most this many characters.
+#: The dictionary is trained on about this many documents (by hash; twice as many at most) and this many characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 512, 16_384
 DICTIONARY_BYTES = 64 * 1024
 #: A block ends with the document that brings it to this many payload bytes or documents.
@@ -49,13 +50,16 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
     """Encode every row of ``docs`` (doc_id, text) with ``end_id`` appended and write the token table.
 
     A null text counts as empty and has the end id alone. Rows are in ascending order of doc_id,
-    null first; rows with the same doc_id stand together, in order of the text. An empty table gives
+    null first; rows with the same doc_id stand together, in order of a hash of the text, then of the
+    text, so that many of them are spread over tasks too. An empty table gives
     a token table without blocks. Other columns are ignored.
     """
     spark, vocabulary = docs.sparkSession, vocabulary or vocabulary_path()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    drawn = rows.where((spread("doc_id") < SAMPLE_DOCS / max(1, rows.count())) & (F.length("text") <= SAMPLE_CHARS))
-    sample = drawn.limit(2 * SAMPLE_DOCS).collect()
+    least = rows.select(spread("doc_id", "text").alias("u")).agg(F.count("*").alias("n"), F.min("u").alias("u")).first()
+    bound = max(SAMPLE_DOCS / max(1, least["n"]), least["u"] or 0.0)  # copies of one row draw alike: there is always a row
+    drawn = rows.withColumn("u", spread("doc_id", "text")).where(F.col("u") <= bound).select("u", F.left("text", F.lit(SAMPLE_CHARS)).alias("text"))
+    sample = drawn.distinct().orderBy("u", "text").limit(2 * SAMPLE_DOCS).collect()
     tool = encoder(vocabulary)
     kind = "<u2" if max(end_id, tool.tokenizer.get_vocab_size()) < 1 << 16 else "<u4"
     end = np.array([end_id], "<u4").tobytes()
@@ -74,7 +78,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
 
         def row() -> pa.RecordBatch:
             offsets = np.concatenate(([0], np.cumsum([len(f) for f in frames]))).tolist()
-            values = [part, block, digest, ids[0], ids[-1], sum(counts), before, ids, counts, offsets, b"".join(frames)]
+            known = [i for i in ids if i is not None]
+            values = [part, block, digest, known[0] if known else None, known[-1] if known else None, sum(counts), before, ids, counts, offsets, b"".join(frames)]
             kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             names = [c.split()[0] for c in BLOCKS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
@@ -93,8 +98,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
         if ids:
             yield row()
 
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    keyed = rows.withColumn("h", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    ordered.select("doc_id", "text").mapInArrow(run, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def _blocks(spark: SparkSession, path: str) -> tuple[DataFrame, bytes, str, str]:
@@ -120,7 +126,10 @@ def _documents(data: bytes, digest: str, batch: pa.RecordBatch, wanted: frozense
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Every document of a token table: doc_id, start (ids before it), n_tokens, ids_crc32 (as 32-bit ids)."""
+    """Every document of a token table: doc_id, start (ids before it), n_tokens, ids_crc32 (as 32-bit ids).
+
+    Rows are those written, repeated and null doc_ids included; a table without blocks gives no rows.
+    """
     blocks, data, digest, kind = _blocks(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +151,10 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """doc_id and ids (array) of a few documents: only blocks that may hold them are read, only their frames opened."""
+    """doc_id and ids (array) of a few documents: only blocks that may hold them are read, only their frames opened.
+
+    A doc_id that several rows have gives a row for each; one that none has gives none. Null doc_ids can't be asked for.
+    """
     blocks, data, digest, kind = _blocks(spark, path)
     wanted = frozenset(doc_ids)
 
