@@ -5,8 +5,7 @@ says which shard has which slot. Rebalancing and growing edit the map and leave
 so only records of edited slots move.
 
 A null text has no bytes and checksum 0; a null doc_id hashes like any other value. Repeated rows
-are separate records; a (doc_id, text checksum) with more rows than a slot should have is dealt
-over slots row by row. Empty tables give empty tables. Other columns are ignored.
+are separate records, numbered and dealt over slots each for itself. Empty tables give empty tables. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkgauge.llm.staging import stage
+from inkgauge.llm.staging import new_path, stage
 
 SLOTS = 8192
 #: Bytes that each record counts besides its text.
@@ -87,34 +86,56 @@ class SlotMap:
                 new.moved.append(slot)
         return new
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        """vslot, map_version, shard, first: where the slot's first record stands in its shard."""
-        at, out = [0] * self.shards, []
-        for slot, shard in enumerate(self.shard_of):
-            out.append((slot, self.version, shard, at[shard]))
-            at[shard] += self.rows[slot]
-        return spark.createDataFrame(out, "vslot int, map_version int, shard int, first long")
+def write_map(spark: SparkSession, path: str, slot_map: SlotMap) -> None:
+    """Store the map's version: one row per slot, under ``path``/map_version=<version>; older versions stay."""
+    rows = list(zip(range(len(slot_map.shard_of)), slot_map.shard_of, slot_map.size, slot_map.rows))
+    table = spark.createDataFrame(rows, "vslot int, shard int, size long, rows long").withColumn("shards", F.lit(slot_map.shards)).withColumn("map_version", F.lit(slot_map.version))
+    table.coalesce(1).write.mode("append").partitionBy("map_version").parquet(path)
+
+
+def read_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
+    """A stored map, the latest unless a version is named; one row per slot comes to the driver."""
+    table = spark.read.schema("vslot int, shard int, size long, rows long, shards int, map_version int").parquet(path)
+    if version is None:
+        version = table.agg(F.max("map_version")).first()[0]
+    rows = table.where(F.col("map_version") == version).orderBy("vslot").collect()
+    return SlotMap(rows[0]["shards"], *([r[c] for r in rows] for c in ("shard", "size", "rows")), version)
+
+
+def grow_map(spark: SparkSession, path: str) -> SlotMap:
+    """Store and give the next version of the latest map, with one more shard."""
+    new = read_map(spark, path).grow()
+    write_map(spark, path, new)
+    return new
+
+
+def rebalance_map(records: DataFrame, path: str, slack: float = 0.02) -> SlotMap:
+    """Store and give the next version of the latest map, edited for the sums of ``records``."""
+    spark = records.sparkSession
+    old = read_map(spark, path)
+    new = old.rebalance(*slot_sums(records, len(old.shard_of)), slack)
+    write_map(spark, path, new)
+    return new
 
 
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, seq and vslot of every record, written once."""
+    """doc_id, size, text_crc32, nth and vslot of every record, staged.
+
+    nth numbers records of the same doc_id, size and checksum. They are counted where they are read
+    and made again from the counts, so however many there are they meet in no task, their slots
+    depend on nothing but the records, and they are spread over all slots.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = stage(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.monotonically_increasing_id().alias("seq"),
-        ),
-        "records",
-    )
-    many = max(64, rows.count() // slots)
-    same = ("doc_id", "text_crc32")
-    # fewer than `slots` keys can have more rows than the mean slot
-    hot = rows.groupBy(*same).count().where(F.col("count") > many).select(*[F.col(c).alias(f"h_{c}") for c in same])
-    marked = rows.join(F.broadcast(hot), rows["doc_id"].eqNullSafe(hot["h_doc_id"]) & (rows["text_crc32"] == hot["h_text_crc32"]), "left")
-    salt = F.when(F.col("h_text_crc32").isNotNull(), F.col("seq")).otherwise(F.lit(0))
-    return marked.withColumn("vslot", F.pmod(F.xxhash64(*same, salt), F.lit(slots)).cast("int")).select("doc_id", "size", "text_crc32", "seq", "vslot")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    counted = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    begins = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(_AT_ONCE).cast("long")))
+    each = F.explode(F.sequence("begin", F.least(F.col("begin") + _AT_ONCE, F.col("n")) - 1))
+    made = counted.withColumn("begin", begins).withColumn("nth", each).select("doc_id", "size", "text_crc32", "nth")
+    return stage(made.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "nth"), F.lit(slots)).cast("int")), "records")
+
+
+#: Equal records that are numbered at once.
+_AT_ONCE = 1 << 16
 
 
 def slot_sums(records: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
@@ -125,10 +146,15 @@ def slot_sums(records: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[i
     return size, rows
 
 
-def place(records: DataFrame, slot_map: SlotMap) -> DataFrame:
-    """Each record's shard and its place there, gapless from 0."""
-    shards = slot_map.table(records.sparkSession)
-    order = Window.partitionBy("vslot").orderBy("seq")
+def place(records: DataFrame, path: str, version: int | None = None) -> DataFrame:
+    """Each record's shard by the stored map, and its place there, gapless from 0 where the map's sums are those of ``records``."""
+    spark = records.sparkSession
+    if version is None:
+        version = read_map(spark, path).version
+    shards = spark.read.schema("vslot int, shard int, rows long, map_version int").parquet(path).where(F.col("map_version") == version)
+    before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
+    shards = shards.select("vslot", "shard", "map_version", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
+    order = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size", "nth")
     return (
         records.withColumn("rank", F.row_number().over(order) - 1)
         .join(F.broadcast(shards), "vslot")  # one row per slot
@@ -136,13 +162,16 @@ def place(records: DataFrame, slot_map: SlotMap) -> DataFrame:
     )
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 40, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version of every record.
 
     The law is ``bytes``: shards have nearly equal sizes. slot is the record's place in its shard.
+    The first version of the map is stored at ``path`` (a new one in the shared folder if there is
+    none), and records are placed by what is read from there. An empty table gives an empty table.
     """
-    records = slotted(docs, slots)
-    slot_map = SlotMap.build(*slot_sums(records, slots), shards)
-    return place(records, slot_map).select(
+    spark = docs.sparkSession
+    records, path = slotted(docs, slots), path or new_path(spark, "slot-map")
+    write_map(spark, path, SlotMap.build(*slot_sums(records, slots), shards))
+    return place(records, path).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version"
     )
