@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkgauge.llm.columns import without
 from inkgauge.llm.staging import new_path, stage
 
 ORDER = 5
@@ -35,19 +36,29 @@ BLOCK_CHARS, SEGMENT_CHARS = 12_000_000, 500_000
 COMMON = 1 << 18
 
 _START = "\x02"
-_MIX = np.random.default_rng(7).integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
+_STEP, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 BLOCKS = "bid long, doc_id array<long>, lang array<string>, tag array<long>, sizes array<long>, payload binary, grams array<string>"
 
 
-def _hashes(codes: np.ndarray, order: int) -> np.ndarray:
-    """A 64-bit hash of every window of ``order`` codes."""
-    n = len(codes) - order + 1
-    out = np.zeros(max(n, 0), np.uint64)
-    for k in range(order):
-        out += codes[k : k + n].astype(np.uint64) * _MIX[k]
+def _mixed(columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each row of codes, every step a bijection of what came before.
+
+    Two of n different n-grams have the same hash with a chance of about n^2 / 2^65: 3 in a million for ten million n-grams of a block.
+    """
+    out = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        out = (out ^ c) * _STEP
+        out ^= out >> _TURN
     return out
 
 
+def _hashes(codes: np.ndarray, order: int) -> np.ndarray:
+    """A hash of every window of ``order`` codes."""
+    n = max(len(codes) - order + 1, 0)
+    wide = codes.astype(np.uint64)
+    return _mixed([wide[k : k + n] for k in range(order)])
+
+
 def _windows(texts: list[str], order: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
     """The texts as one string with start marks; of each of their characters in turn: window's start, window's hash, text."""
     pad = _START * (order - 1)
@@ -214,10 +225,7 @@ def common_grams(grams: DataFrame, most: int = COMMON) -> DataFrame:
 
 def _keys(grams: list[str], order: int) -> np.ndarray:
     codes = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, order)
-    keys = np.zeros(len(codes), np.uint64)
-    for k in range(order):
-        keys += codes[:, k].astype(np.uint64) * _MIX[k]
-    return keys
+    return _mixed([codes[:, k].astype(np.uint64) for k in range(order)])
 
 
 def _sorted(grams: list[str], logp: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -315,7 +323,9 @@ def quality_report(docs: DataFrame, labels: DataFrame, order: int = ORDER, quant
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    gone = quality_report(docs, labels, order, quantile).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("tag").alias("_gone_tag")).distinct()
-    tag = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]) & (tag == gone["_gone_tag"]), "left_anti")
+    """The rows of ``docs`` that ``quality_report`` keeps, with all their columns.
+
+    Null and empty texts stay, repeated rows stay or go together, an empty table gives an empty table.
+    """
+    gone = stage(quality_report(docs, labels, order, quantile).where("not kept").select("doc_id", "tag").distinct(), "gone")
+    return without(docs, gone, gone.limit(0))
