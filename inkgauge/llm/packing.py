@@ -1,8 +1,8 @@
 """Best-fit packing by exact-complement hashing over the histogram of lengths.
 
 Lengths are at most the capacity, so the whole plan is made on counts by length: for each length,
-longest first, its gap to the capacity is looked up among single lengths, sums of two and sums of
-three, and combinations that fill it exactly are used as often as counts allow. What remains goes
+longest first, its gap to the capacity is looked up in an index of single lengths, sums of two and
+sums of three, and combinations that fill it exactly are used as often as counts allow. What remains goes
 by best fit, longest first, whole counts at a time. Pieces then take their places by rank.
 """
 
@@ -32,10 +32,28 @@ def _runs(lengths: list[int]) -> Runs:
     return tuple(out)
 
 
+class SumIndex:
+    """Which single lengths, pairs and triples have a given sum: made once, from the lengths that occur.
+
+    ``pairs[s]`` are the longer lengths of pairs with sum s, ``triples[s]`` the longest lengths of triples, both longest first.
+    """
+
+    def __init__(self, lengths: np.ndarray, most: int):
+        there = np.zeros(most + 1, bool)
+        there[lengths[lengths <= most]] = True
+        longest_first = np.flatnonzero(there)[::-1]
+        self.pairs = [longest_first[(2 * longest_first >= s) & (longest_first < s)] for s in range(most + 1)]
+        self.pairs = [a[there[s - a]] for s, a in enumerate(self.pairs)]
+        least = np.array([a[-1] if len(a) else most + 1 for a in self.pairs])  # the pair's longer length, at least
+        self.triples = [longest_first[(3 * longest_first >= s) & (longest_first < s)] for s in range(most + 1)]
+        self.triples = [a[least[s - a] <= a] for s, a in enumerate(self.triples)]
+
+
 def _exact(left: np.ndarray, capacity: int) -> list[tuple[int, Runs]]:
     """Use up combinations of at most four lengths with sum ``capacity``; ``left`` keeps what remains."""
     made: list[tuple[int, Runs]] = []
     spare = np.zeros_like(left)
+    index = SumIndex(np.flatnonzero(left), capacity)
 
     def use(lengths: list[int]) -> None:
         runs = _runs(sorted(lengths, reverse=True))
@@ -44,30 +62,28 @@ def _exact(left: np.ndarray, capacity: int) -> list[tuple[int, Runs]]:
                 left[x] -= n * times
             made.append((int(times), runs))
 
+    def fillings(gap: int, long: int) -> Iterator[list[int]]:
+        if gap <= long:
+            yield [gap]
+        for a in index.pairs[gap]:
+            if a <= long:
+                yield [int(a), gap - int(a)]
+        for a in index.triples[gap]:
+            if a <= long and left[a]:
+                for b in index.pairs[gap - a]:
+                    if b <= a:
+                        yield [int(a), int(b), gap - int(a) - int(b)]
+                        if not left[a]:
+                            break
+
     for long in range(capacity, 0, -1):
-        if not left[long]:
-            continue
-        gap = capacity - long
-        if gap == 0:
+        if left[long] and long == capacity:
             use([long])
-            continue
-        if gap <= long and left[gap]:
-            use([long, gap])
-        first = np.arange(min(long, gap - 1), (gap - 1) // 2, -1)
-        for a in first[(left[first] > 0) & (left[gap - first] > 0)].tolist() if left[long] else ():
-            use([long, a, gap - a])
-            if not left[long]:
-                break
-        for a in range(min(long, gap - 2), (gap - 1) // 3, -1):
-            if not left[long]:
-                break
-            if left[a]:
-                rest = gap - a
-                second = np.arange(min(a, rest - 1), (rest - 1) // 2, -1)
-                for b in second[(left[second] > 0) & (left[rest - second] > 0)].tolist():
-                    use([long, a, b, rest - b])
-                    if not left[long] or not left[a]:
-                        break
+        for filling in fillings(capacity - long, long) if 0 < long < capacity and left[long] else ():
+            if all(left[x] for x in filling):
+                use([long, *filling])
+                if not left[long]:
+                    break
         spare[long], left[long] = left[long], 0
     left += spare
     return made
@@ -154,14 +170,16 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, capa
 def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Rows with part, rank and length -> the same with sequence_id and offset instead of part and rank.
 
-    The driver gets one row per length, the plan has a bounded number of entries per length.
+    The driver gets one row per length, the plan has a bounded number of entries per length. What a
+    task needs to know of the parts before it grows with the parts, so it goes by a shuffle of the
+    narrow rows, not by a broadcast.
     """
     by_part = stage(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = _places(plan(counts, capacity))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = by_part.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
-    ranked = cut.join(first, ["length", "part"]).withColumn("rank", F.col("first") + F.col("rank")).drop("first", "part")
+    ranked = cut.join(stage(first, "first").hint("merge"), ["length", "part"]).withColumn("rank", F.col("first") + F.col("rank")).drop("first", "part")
     names = [c for c in ranked.columns if c != "rank"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
