@@ -23,7 +23,7 @@ THRESHOLD = 0.98
 #: Tables, lattice points that make a table's cell, cells that each vector probes in a table (its own first), and the lattice's scale.
 TABLES, BLOCKS, PROBES, SCALE = 6, 2, 4, 0.5
 #: Members of a cell that one task compares with each other; larger cells are dealt out in pairs of blocks.
-MEMBERS = 4096
+MEMBERS = 512
 
 
 def nearest_d8(x: np.ndarray) -> np.ndarray:
