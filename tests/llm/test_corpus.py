@@ -93,6 +93,35 @@ def test_token_table_round_trip(spark, documents, rows, tmp_path):
     assert some == {i: expected_ids(next(r["text"] for r in rows if r["doc_id"] == i), 1) for i in (3, 77)}
 
 
+def test_ids_of_every_document_are_the_librarys(documents, rows):
+    from tokenizers import Tokenizer
+
+    tool, at = Tokenizer.from_file(vocabulary_path()), 0
+    found = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokens.token_table(documents, end_id=1).collect()}
+    crc = {(r["doc_id"], r["piece"]): (r["length"], r["ids_crc32"]) for r in packing.pack(documents, end_id=0).collect()}
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        ids = tool.encode(r["text"] or "", add_special_tokens=False).ids
+        assert found[r["doc_id"]] == (at, len(ids) + 1, zlib.crc32(np.array([*ids, 1], "<u4").tobytes()))
+        at += len(ids) + 1
+        for k in range(0, len(ids) + 1, 2048):
+            cut = [*ids, 0][k : k + 2048]
+            assert crc.pop((r["doc_id"], k // 2048)) == (len(cut), zlib.crc32(np.array(cut, "<u4").tobytes()))
+    assert not crc
+
+
+def test_lookup_in_blocks_that_begin_with_null_ids(spark, tmp_path):
+    path = "file://" + str(tmp_path / "n")
+    tokens.write_tokens(spark.createDataFrame([(None, "x"), (None, None), (1, "a b"), (2, "c"), (2, "d")], "doc_id long, text string"), path)
+    got = sorted((r["doc_id"], tuple(r["ids"])) for r in tokens.lookup(spark, path, [1, 2, 9]).collect())
+    assert got == sorted([(1, tuple(expected_ids("a b", 1))), (2, tuple(expected_ids("c", 1))), (2, tuple(expected_ids("d", 1)))])
+
+
+def test_token_tables_of_copies_have_a_dictionary(spark, tmp_path):
+    path = "file://" + str(tmp_path / "c")
+    tokens.write_tokens(spark.createDataFrame([(None, "one and the same text")] * 4000, "doc_id long, text string"), path)
+    assert spark.read.parquet(path + "/dictionary").first()["samples"] == 1 and tokens.read_digests(spark, path).count() == 4000
+
+
 def test_token_table_of_odd_rows(odd, empty):
     got = tokens.token_table(odd).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == [None, 1, 2, 3, 4, 5, 5, 7] and [r["n_tokens"] for r in got][1:4] == [1, 1, 1]
@@ -219,6 +248,26 @@ def test_sharding(documents, rows, odd, empty):
     assert sharding.shard_by_bytes(odd, 3).count() == len(ODD) and sharding.shard_by_bytes(empty, 3).count() == 0
 
 
+def test_shards_against_the_rules(spark, documents, odd, tmp_path):
+    """Every record once, sums as the contract says, and a map whose versions move only edited slots."""
+    for k, df in enumerate((documents, odd.unionByName(spark.createDataFrame([(None, "copy", "en", "a", 4)] * 500, DOCS), allowMissingColumns=True))):
+        path = f"file://{tmp_path}/map{k}"
+        got = [tuple(r) for r in sharding.shard_by_bytes(df, 5, 256, path).orderBy("shard", "slot").collect()]
+        want = sorted((str(r["doc_id"]), len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode())) for r in df.collect())
+        assert sorted((str(r[0]), r[1], r[2]) for r in got) == want and {r[3] for r in got} == {"bytes"} and {r[8] for r in got} == {1}
+        assert got == [tuple(r) for r in sharding.shard_by_bytes(df.repartition(7), 5, 256).orderBy("shard", "slot").collect()]
+        records = sharding.slotted(df, 256)
+        grown = sharding.grow_map(spark, path)
+        again = sharding.read_map(spark, path)
+        assert (again.version, again.shards, again.shard_of) == (2, 6, grown.shard_of)
+        first = {(r["doc_id"], r["text_crc32"], r["size"], r["nth"]): (r["vslot"], r["shard"]) for r in sharding.place(records, path, 1).collect()}
+        second = {(r["doc_id"], r["text_crc32"], r["size"], r["nth"]): (r["vslot"], r["shard"]) for r in sharding.place(records, path).collect()}
+        assert all(second[x] == v or (v[0] in set(grown.moved) and second[x][1] == 5) for x, v in first.items())
+        assert sharding.rebalance_map(records, path).version == 3 and sharding.read_map(spark, path, 1).shards == 5
+    copies = collections.Counter(r[4] for r in got if r[1] == 20 and r[0] is None)
+    assert len(copies) == 5
+
+
 def test_slot_map_edits():
     rng = random.Random(2)
     size = [rng.randint(1, 100) for _ in range(500)]
