@@ -32,14 +32,17 @@ MIN_RUN, COVERED = 8, 0.8
 GROUP_PAGES = 512
 #: An article's block goes if it is on this share of a host's pages, the host has so many pages and the block so many words.
 USUAL, MIN_PAGES, MIN_WORDS = 0.5, 8, 3
+#: Rows of a group whose texts are given at once.
+AT_ONCE = 1 << 17
 #: No hashes.
 NONE = np.zeros(0, np.int64)
 
-ARTICLE, OPEN, NEVER = 0, 1, 2
+#: INSIDE is an article in a part that only its name or a form makes doubtful, DOUBTFUL such a part's other text.
+ARTICLE, OPEN, NEVER, INSIDE, DOUBTFUL = range(5)
 
 #: Elements by what they do to text.
 _INVISIBLE = frozenset("script style noscript template head title svg math iframe object canvas select textarea".split())
-_NEVER = frozenset("nav header footer aside form menu dialog button".split())
+_NEVER = frozenset("nav header footer aside menu dialog button".split())
 _MAIN = frozenset(["article", "main"])
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -49,13 +52,17 @@ _BLOCK = frozenset(
 #: What an end tag or a following block may close without its own end tag.
 _CLOSES_P = _BLOCK - frozenset(["br", "option", "body", "html"])
 _SAME = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
-#: Words of class, id and role that name parts that are not main text.
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|cookie|cookies|consent|disclaimer|footer|header|masthead"
-    r"|menu|nav|navbar|navigation|newsletter|notice|popup|modal|promo|promoted|related|recommended|reply|replies|respond|search|share|sharing|sidebar|side-bar|social|sponsor|sponsored"
-    r"|subscribe|contentinfo|complementary|dialog|alert|skip|toolbar|widget)(?:$|[\s_-]|\d)",
-    re.IGNORECASE,
+def _names(words: str) -> re.Pattern:
+    return re.compile(rf"(?:^|[\s_-])(?:{'|'.join(words.split())})(?:$|[\s_-]|\d)", re.IGNORECASE)
+
+
+#: Words of class, id and role that name parts that are never main text, whatever is in them.
+_SURE = _names(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer footer newsletter notice popup modal"
+    " promo promoted related recommended reply replies respond sponsor sponsored subscribe navigation contentinfo complementary dialog alert skip"
 )
+#: Words that also name wrappers around an article, after what stands beside it.
+_MAYBE = _names("banner header masthead menu nav navbar search share sharing sidebar side-bar social toolbar widget")
 _WHITE = re.compile(r"\s+")
 
 
@@ -68,7 +75,6 @@ class _Reader(HTMLParser):
         self.open: list[tuple[str, int, bool]] = []  # tag, kind inside, invisible
         self.kind, self.hidden = OPEN, False
         self.held: list[str] = []
-        self.has_article = False
 
     def _end_block(self) -> None:
         if self.held:
@@ -101,14 +107,16 @@ class _Reader(HTMLParser):
             return
         kind, hidden = self.kind, self.hidden or tag in _INVISIBLE
         values = {k: v or "" for k, v in attrs}
+        named = " ".join(values.get(a, "") for a in ("class", "id", "role")) if tag not in ("html", "body") else ""
         if tag in _MAIN or values.get("role") == "main":
-            if kind == OPEN:
-                kind, self.has_article = ARTICLE, True
-            elif tag == "article" and kind == ARTICLE and _NAMES.search(f"{values.get('class', '')} {values.get('id', '')}"):
-                kind = NEVER
-        elif tag in _NEVER or any(_NAMES.search(values.get(a, "")) for a in ("class", "id", "role")):
-            if tag not in ("html", "body"):
-                kind = NEVER
+            if kind in (ARTICLE, INSIDE):
+                kind = NEVER if tag == "article" and (_SURE.search(named) or _MAYBE.search(named)) else kind
+            elif kind != NEVER:
+                kind = ARTICLE if kind == OPEN else INSIDE
+        elif tag in _NEVER or _SURE.search(named):
+            kind = NEVER
+        elif tag == "form" or _MAYBE.search(named):
+            kind = DOUBTFUL if kind in (OPEN, DOUBTFUL) else NEVER
         if "hidden" in values or values.get("aria-hidden") == "true":
             kind = NEVER
         if kind != self.kind:
@@ -141,9 +149,13 @@ class _Reader(HTMLParser):
             self.held.append(data)
 
     def finish(self) -> list[tuple[int, str]]:
+        """The blocks as ARTICLE, OPEN or NEVER: what is doubtful counts only where a page has nothing better."""
         self.close()
         self._end_block()
-        return self.blocks
+        kinds = {kind for kind, _ in self.blocks}
+        inside = NEVER if ARTICLE in kinds else ARTICLE
+        doubtful = NEVER if kinds & {ARTICLE, INSIDE, OPEN} else OPEN
+        return [({INSIDE: inside, DOUBTFUL: doubtful}.get(kind, kind), text) for kind, text in self.blocks]
 
 
 #: Elements that implied end tags don't reach across.
@@ -184,16 +196,17 @@ def window_hashes(words: list[str], width: int, salt: int) -> np.ndarray:
 
 
 def repeated(pages: list[list[str]], min_run: int = MIN_RUN, elsewhere: np.ndarray = NONE, salt: int = 0) -> list[list[bool]]:
-    """For each page's tokens, whether a run of at least ``min_run`` of them that covers the token is on another page too.
+    """For each page's tokens, whether a run of at least ``min_run`` of them that covers the token is on a page of other tokens too.
 
     ``elsewhere`` has the ``window_hashes`` of runs that pages not given here hold.
     """
     ids: dict[str, int] = {}
+    contents: dict[tuple[str, ...], int] = {}
     stream, owner = [], []
     for p, words in enumerate(pages):
         stream += [ids.setdefault(w, len(ids)) for w in words]
         stream += [-1 - p] * min_run  # a mark of its own ends each page: no run goes across
-        owner += [p] * (len(words) + min_run)
+        owner += [contents.setdefault(tuple(words), p)] * (len(words) + min_run)  # a page that is stored twice doesn't repeat itself
     if not stream:
         return [[] for _ in pages]
     tokens, page = np.array(stream, np.int64), np.array(owner, np.int64)
@@ -234,17 +247,20 @@ def usual(n: int, pages: int) -> bool:
     return pages >= MIN_PAGES and n >= USUAL * pages
 
 
-def main_texts(pages: list[list[tuple[int, str]]], min_run: int = MIN_RUN, covered: float = COVERED, elsewhere: np.ndarray = NONE, salt: int = 0, host_pages: int | None = None) -> list[str]:
-    """The main text of each of a host's pages, given as blocks.
+def main_texts(pages: list[list[tuple[int, str]]], min_run: int = MIN_RUN, covered: float = COVERED, elsewhere: np.ndarray = NONE, salt: int = 0, host_pages: int | None = None, copies: list[int] | None = None) -> list[str]:
+    """The main text of each of a host's pages, given as blocks; ``copies`` says how often each is stored.
 
-    Of a host of more pages than those given, ``host_pages`` is their number and ``elsewhere`` has the hashes of runs
+    A page without an article of which everything is repeated keeps its undecided blocks: it has nothing else. Of a host of more pages than those given, ``host_pages`` is their number and ``elsewhere`` has the hashes of runs
     (as in ``repeated``) and of usual article blocks, which only all pages together tell.
     """
     marks = repeated([outside_words(blocks) for blocks in pages], min_run, elsewhere, salt)
     hashes = [article_hashes(blocks, salt) for blocks in pages]
-    total = len(pages) if host_pages is None else host_pages
+    copies = copies or [1] * len(pages)
+    total = sum(copies) if host_pages is None else host_pages
     if host_pages is None:
-        counts = Counter(h for own in hashes for h in set(own))
+        counts: Counter[int] = Counter()
+        for own, n in zip(hashes, copies):
+            counts.update(dict.fromkeys(set(own), n))
         chrome = {h for h, n in counts.items() if h and usual(n, total)}
     else:
         chrome = set(elsewhere[np.isin(elsewhere, np.array([h for own in hashes for h in own if h], np.int64))].tolist())
@@ -266,6 +282,8 @@ def main_texts(pages: list[list[tuple[int, str]]], min_run: int = MIN_RUN, cover
             at += n
             if kind == OPEN and part < covered and (not own or total >= MIN_PAGES and n >= min_run):
                 kept.append(text)
+        if not kept and not own:
+            kept = [text for kind, text in blocks if kind == OPEN]
         out.append("\n".join(kept))
     return out
 
@@ -280,10 +298,10 @@ def extract(pages: DataFrame, min_run: int = MIN_RUN, covered: float = COVERED,
 
     Blocks are in page order, joined by a line feed, with white space inside a block made one space.
     A null or empty page, or one without main text, has an empty text. Pages without a host form a
-    group of their own. Repeated rows stay repeated and count as
-    pages of the host. Broken markup is read as far as it goes. An empty table gives an empty
+    group of their own. Repeated rows stay repeated and count as pages of the host, but no page
+    repeats itself: runs are compared between pages of different html. Broken markup is read as far as it goes. An empty table gives an empty
     table; other columns are ignored. A group holds at most a few hundred pages, so a host of any
-    size is spread over tasks; for hosts of several groups a first pass counts the pages of each run and article block over
+    size is spread over tasks (equal pages of one go to one, and are read once); for hosts of several groups a first pass counts the pages of each run and article block over
     all groups of the host and tells the groups what they can't see alone.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -292,32 +310,35 @@ def extract(pages: DataFrame, min_run: int = MIN_RUN, covered: float = COVERED,
     groups = stage(large.select("host", F.ceil(F.col("count") / group_pages).cast("int").alias("groups"), F.col("count").alias("pages")), "large-hosts")
     placed = (
         rows.join(F.broadcast(groups), "host", "left")  # one row for each group_pages pages at most
-        .withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))).cast("int"))
+        .withColumn("part", F.pmod(F.xxhash64("html"), F.coalesce("groups", F.lit(1))).cast("int"))
     )
     known = F.lit(None).cast("array<long>").alias("known")
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition("host", "part").sortWithinPartitions("host", "part", F.desc(F.col("known").isNotNull()), "page_id")
+        return df.repartition("host", "part").sortWithinPartitions("host", "part", F.desc(F.col("known").isNotNull()), F.xxhash64("html"), "page_id")
 
     def by_group(batches: Iterator[pa.RecordBatch], tell: Callable[..., pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, urls, held, told, total = None, [], [], [], NONE, None
+        key, last, ids, urls, which, held, told, total = None, None, [], [], [], [], NONE, None
         for batch in batches:
             for host, part, page_id, url, html, pages, known in zip(*(batch.column(i) for i in range(7))):
-                here = (host.as_py(), part.as_py())
-                if ids and (here != key or len(ids) >= 2 * group_pages):
-                    yield tell(key, ids, urls, held, told, total)
-                    ids, urls, held = [], [], []
+                here, html = (host.as_py(), part.as_py()), html.as_py()
+                if ids and (here != key or html != last and len(held) >= 2 * group_pages or len(ids) >= AT_ONCE):
+                    yield tell(key, ids, urls, which, held, told, total)
+                    ids, urls, which, held = [], [], [], held[-1:] if here == key and html == last else []
                 if here != key:
-                    key, told = here, NONE
+                    key, told, last, held = here, NONE, None, []
                 if known.is_valid:
                     told = np.asarray(known.values.to_numpy(), np.int64)
                     continue
                 total = pages.as_py()
                 ids.append(page_id.as_py())
                 urls.append(url.as_py())
-                held.append(page_blocks(html.as_py()))
+                if html != last or not held:
+                    held.append(page_blocks(html))
+                    last = html
+                which.append(len(held) - 1)
         if ids:
-            yield tell(key, ids, urls, held, told, total)
+            yield tell(key, ids, urls, which, held, told, total)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -334,8 +355,9 @@ def extract(pages: DataFrame, min_run: int = MIN_RUN, covered: float = COVERED,
                     yield pa.RecordBatch.from_arrays([pa.array([host] * k, pa.string()), pa.array([part] * k, pa.int32()), pa.array(hashes, pa.int64()), pa.array(n, pa.int64()), pa.array([total] * k, pa.int64()), pa.array([article] * k, pa.bool_())], ["host", "part", "hash", "n", "pages", "article"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tell(key, ids, urls, held, told, total):
-            texts = main_texts(held, min_run, covered, told, _salt(key[0]), total)
+        def tell(key, ids, urls, which, held, told, total):
+            made = main_texts(held, min_run, covered, told, _salt(key[0]), total, np.bincount(which, minlength=len(held)).tolist())
+            texts = [made[k] for k in which]
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
         return by_group(batches, tell)
@@ -344,9 +366,10 @@ def extract(pages: DataFrame, min_run: int = MIN_RUN, covered: float = COVERED,
     if not groups.isEmpty():
         counted = placed.where("groups is not null").select("host", "part", "html", "pages").mapInArrow(count, "host string, part int, hash long, n long, pages long, article boolean")
         counted = counted.groupBy("host", "part", "hash", "pages", "article").agg(F.sum("n").alias("n"))
-        # a window has a row for each group of its host at most
-        over = counted.withColumn("total", F.sum("n").over(Window.partitionBy("hash", "host", "article")))
-        over = over.where(F.when(F.col("article"), F.col("total") >= USUAL * F.col("pages")).otherwise(F.col("total") > 1))
+        # a window has a row for each group of its host at most; equal pages are in one group, so two groups are two contents
+        same = Window.partitionBy("hash", "host", "article")
+        over = counted.withColumn("total", F.sum("n").over(same)).withColumn("groups", F.count("*").over(same))
+        over = over.where(F.when(F.col("article"), F.col("total") >= USUAL * F.col("pages")).otherwise(F.col("groups") > 1))
         tell = over.groupBy("host", "part").agg(F.sort_array(F.collect_set("hash")).alias("known"))
         every = every.unionByName(tell, allowMissingColumns=True)
     return dealt(every).mapInArrow(run, "page_id long, url string, text string, n_chars long")
