@@ -208,6 +208,30 @@ def test_pages_query_against_plain_reading(spark, sf_dir):
     assert sorted(r["text"] for r in html.extract(odd).collect()) == ["", "", "a"] and html.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<div class='layout has-sidebar'><article><p>Main text</p></article><div class=sidebar>aside</div></div>", "Main text"),
+    ("<form id=aspnetForm><div>menu words</div><article><p>Main text</p></article></form>", "Main text"),
+    ("<div class='page with-menu'><p>Only wrapped text</p></div>", "Only wrapped text"),
+    ("<article><p>Main text</p></article><div class=comments><article class=comment>I disagree</article></div>", "Main text"),
+    ("<div class='no-sidebar'><main><p>Main text</p><section class='comments'><article>I disagree</article></section></main></div>", "Main text"),
+    ("<article><p>Main text</p><form><p>Your name</p></form><div class=share>Share</div></article>", "Main text"),
+    ("<nav><article>teaser</article></nav><p>Open text</p>", "Open text"),
+    ("<div class='widget'>Weather</div><p>Open text</p>", "Open text"),
+])
+def test_wrappers_and_forms(page, text):
+    assert html.main_texts([html.page_blocks(f"<body>{page}</body>")]) == [text]
+
+
+def test_pages_that_are_stored_twice_keep_their_text(spark):
+    body = "<body><p>this page has no article but it has nine words or more</p><p>and it is stored under two addresses of the host</p></body>"
+    other = "<body><p>quite another page with a text of its own and nothing shared with it</p></body>"
+    data = [(1, "http://h/a", body), (2, "http://h/b", body), (2, "http://h/b", body), (3, "http://h/c", other)] + [(10 + k, "http://h/x", body) for k in range(70)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    for size in (512, 16, 1):
+        got = html.extract(pages, group_pages=size).collect()
+        assert len(got) == len(data) and all(r["text"].count("\n") == (0 if r["page_id"] == 3 else 1) for r in got)
+
+
 def test_runs_are_found_across_groups_of_a_large_host(spark):
     line = "<div>only two pages of this whole host carry this very line of text</div>"
     data = [(k, f"http://big.example/{k}", f"<body>{line if k in (3, 60) else ''}<p>{' '.join(f'w{k}x{i}' for i in range(12))}</p>") for k in range(80)]
