@@ -11,7 +11,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,7 +49,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(paths: list[str]) -> None:
+def remove(paths: list[str]) -> None:
+    """Delete staged tables that nobody needs any more."""
     for path in paths:
         spark = _made.pop(path, None)
         if spark is None or spark.sparkContext._jsc is None:  # the session has ended; its folder is the cluster's to clear
@@ -65,22 +66,21 @@ def scope() -> Iterator[set[str]]:
     try:
         yield kept
     finally:
-        _remove([p for p in _made if p not in before and p not in kept])
+        remove([p for p in _made if p not in before and p not in kept])
 
 
-def stage_alone(df_of, spark: SparkSession, label: str) -> DataFrame:
-    """The table that ``df_of()`` describes, staged; whatever was staged to make it is removed."""
+def stage_alone(made: Callable[[], DataFrame], spark: SparkSession, label: str) -> tuple[DataFrame, str]:
+    """The table that ``made()`` describes, staged, and its path; whatever was staged to make it is removed."""
     with scope() as kept:
-        df = df_of()
-        path = new_path(spark, label)
+        df, path = made(), new_path(spark, label)
         df.write.option("compression", "zstd").parquet(path)
         kept.add(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def _at_end() -> None:
     try:
-        _remove(list(_made))
+        remove(list(_made))
     except Exception:  # the gateway may be gone before us
         pass
 
