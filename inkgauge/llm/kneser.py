@@ -312,8 +312,10 @@ def quality_report(docs: DataFrame, labels: DataFrame, order: int = ORDER, quant
     name = f"blocks_{uuid.uuid4().hex}"
     blocks = document_blocks(docs, order, name)
     trusted = stage(trusted_ids(labels), "trusted")
-    scores = block_scores(blocks, model(gram_counts(blocks, trusted, order), order))
-    docs.sparkSession.sql(f"drop table {name}")  # the catalog's entry; what was read of it is staged
+    try:
+        scores = block_scores(blocks, model(gram_counts(blocks, trusted, order), order))
+    finally:
+        docs.sparkSession.sql(f"drop table {name}")  # the catalog's entry; what was read of it is staged
     judged = scores.join(trusted.where("not train"), "doc_id", "left_semi").where("score is not null")
     thresholds, overall = language_thresholds(judged, quantile)
     rows = scores.join(thresholds, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(F.broadcast(overall))  # one row
