@@ -213,42 +213,48 @@ def near_duplicate_groups(docs: DataFrame, radius: int = 4, width: int = 4) -> D
     return rows.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-#: Seeds of the word fingerprints under which near duplicates are sought, and the differing bits that make a candidate.
-SEEDS, RADIUS = 3, 4
+#: Seeds of the word fingerprints under which near duplicates are sought, and the differing bits that make two of them meet.
+SEEDS, RADIUS = 4, 4
+#: Differing bits of the fingerprints of word pairs up to which a pair that met is a candidate: 6 on average for pairs at 0.8, 32 for strangers.
+ALIKE = 20
 #: Members up to which all pairs of a bucket are candidates at once; larger ones begin with links that span them.
-PAIRS = 24
+PAIRS = 16
 #: Members of a block in which the rest of a larger bucket is compared.
 BLOCK = 2048
 
 _SEED_MIX = np.random.default_rng(12).integers(1, 1 << 63, SEEDS, dtype=np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h * _STEP
+    h ^= h >> np.uint64(32)
+    h = h * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(32)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed number."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _BLOCK):
+        total += np.unpackbits(hashes[at : at + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return _signed(int.from_bytes(np.packbits(total * 2 > len(hashes), bitorder="little").tobytes(), "little"))
 
 
 def word_fingerprints(text: str | None) -> list[int]:
-    """SimHashes of a text's words, repeats counted, under each seed; texts without words have zeros."""
+    """SimHashes of a text's distinct words under each seed, and last that of its distinct word pairs; texts without words have zeros."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return [0] * SEEDS
-    counts: dict[bytes, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    digests = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in counts), np.uint64, len(counts))
-    weight = np.fromiter(counts.values(), np.int64, len(counts))
-    out = []
-    for mix in _SEED_MIX:
-        h = (digests ^ mix) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-        total = np.zeros(64, np.int64)
-        for at in range(0, len(h), _BLOCK):
-            bits = np.unpackbits(h[at : at + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            total += weight[at : at + _BLOCK] @ bits
-        out.append(_signed(int.from_bytes(np.packbits(total * 2 > len(words), bitorder="little").tobytes(), "little")))
-    return out
+        return [0] * (SEEDS + 1)
+    digests = {w: xxhash.xxh64_intdigest(w, 42) for w in set(words)}
+    distinct = np.fromiter(digests.values(), np.uint64, len(digests))
+    row = np.fromiter((digests[w] for w in words), np.uint64, len(words))
+    pairs = np.unique(_mixed(row[:-1] * np.uint64(3) ^ row[1:])) if len(row) > 1 else _mixed(row)
+    return [_majority(_mixed(distinct ^ mix)) for mix in _SEED_MIX] + [_majority(pairs)]
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """cid, k1, k2 and fps of each distinct text, staged; two 64-bit hashes tell texts apart."""
+    """cid, k1, k2, fps and like (the fingerprint of word pairs) of each distinct text, staged; two 64-bit hashes tell texts apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,30 +262,32 @@ def _classes(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(fps, pa.list_(pa.int64()))], ["k1", "k2", "fps"])
 
     made = stage(rows.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, fps array<long>"), "word-fingerprints")
-    return stage(made.groupBy("k1", "k2").agg(F.first("fps").alias("fps")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    each = made.groupBy("k1", "k2").agg(F.first("fps").alias("fps")).select("k1", "k2", F.slice("fps", 1, SEEDS).alias("fps"), F.element_at("fps", SEEDS + 1).alias("like"))
+    return stage(each.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
 
 def _tables(classes: DataFrame) -> DataFrame:
-    """t, key, cid, fp: every class in every covering table of every seed."""
+    """t, key, cid, fp, like: every class in every covering table of every seed."""
     masks = [_signed(m) for m in covering_masks(RADIUS)]
-    fps = classes.select("cid", F.posexplode("fps").alias("s", "fp"))
-    tables = fps.select("cid", "s", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("m", "key"))
-    return tables.select((F.col("s") * len(masks) + F.col("m")).alias("t"), "key", "cid", "fp")
+    fps = classes.select("cid", "like", F.posexplode("fps").alias("s", "fp"))
+    tables = fps.select("cid", "like", "s", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("m", "key"))
+    return tables.select((F.col("s") * len(masks) + F.col("m")).alias("t"), "key", "cid", "fp", "like")
 
 
-def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= RADIUS
+def _near(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Whether fingerprints a and b of words are within the radius and c and d of word pairs are alike."""
+    return (np.bitwise_count(a ^ b) <= RADIUS) & (np.bitwise_count(c ^ d) <= ALIKE)
 
 
-def _first_pairs(starts: list[int], cid: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _first_pairs(starts: list[int], cid: np.ndarray, fp: np.ndarray, like: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Members of buckets -> all near pairs of small ones, and of others links that span what is near."""
     u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b in zip(starts, starts[1:]):
         if b - a < 2:
             continue
-        c, f = cid[a:b], fp[a:b]
+        c, f, l = cid[a:b], fp[a:b], like[a:b]  # noqa: E741
         if b - a <= PAIRS:
-            i, j = np.nonzero(np.triu(_near(f[:, None], f[None, :]), 1))
+            i, j = np.nonzero(np.triu(_near(f[:, None], f[None, :], l[:, None], l[None, :]), 1))
             u.append(c[i])
             v.append(c[j])
             continue
@@ -288,7 +296,7 @@ def _first_pairs(starts: list[int], cid: np.ndarray, fp: np.ndarray) -> tuple[np
             front, waiting = waiting[:1], waiting[1:]
             while len(front) and len(waiting):
                 i, front = front[0], front[1:]
-                near = _near(f[waiting], f[i])
+                near = _near(f[waiting], f[i], l[waiting], l[i])
                 u.append(np.full(int(near.sum()), c[i]))
                 v.append(c[waiting[near]])
                 front, waiting = np.append(front, waiting[near]), waiting[~near]
@@ -301,16 +309,16 @@ def _candidate_pairs(tables: DataFrame) -> DataFrame:
     dealt = tables.repartition("t", "key").sortWithinPartitions("t", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
+        held = [np.zeros(0, np.int64)] * 5
         for batch in _with_end(batches):
             if batch is not None:
                 held = [np.concatenate((h, batch.column(i).to_numpy().astype(np.int64))) for i, h in enumerate(held)]
-            t, key, cid, fp = held
+            t, key, cid, fp, like = held
             new = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
             last = len(t) if batch is None or len(t) and (not len(new) and len(t) > BUCKET_LIMIT) else (int(new[-1]) if len(new) else 0)
             if last:
                 starts = [0, *new[new < last].tolist(), last]
-                u, v = _first_pairs(starts, cid[:last], fp[:last].view(np.uint64))
+                u, v = _first_pairs(starts, cid[:last], fp[:last].view(np.uint64), like[:last].view(np.uint64))
                 both = np.unique(np.stack((u, v)), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["u", "v"])
                 held = [h[last:] for h in held]
@@ -324,7 +332,7 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 
 def _other_pairs(tables: DataFrame, roots: DataFrame) -> DataFrame:
-    """u, v: all pairs within the radius that share a bucket of more than PAIRS members but, so far, no component; staged.
+    """u, v: all near pairs that share a bucket of more than PAIRS members but, so far, no component; staged.
 
     Buckets whose members are in one component have none. Others are dealt out as pairs of blocks.
     """
@@ -334,14 +342,14 @@ def _other_pairs(tables: DataFrame, roots: DataFrame) -> DataFrame:
     rows = placed.join(open_buckets, ["t", "key"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keys = ["t", "key", "b1", "b2"]
-    rows = rows.select("t", "key", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "cid", "fp", "root")
+    rows = rows.select("t", "key", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "cid", "fp", "like", "root")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        cid, fp, root, block = (table[c].to_numpy() for c in ("cid", "fp", "root", "block"))
-        bits, u, v = fp.view(np.uint64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        cid, fp, like, root, block = (table[c].to_numpy() for c in ("cid", "fp", "like", "root", "block"))
+        bits, pairs, u, v = fp.view(np.uint64), like.view(np.uint64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         apart = key[2].as_py() != key[3].as_py()
         for at in range(len(cid)):
-            near = _near(bits[at + 1 :], bits[at]) & (root[at + 1 :] != root[at])
+            near = _near(bits[at + 1 :], bits[at], pairs[at + 1 :], pairs[at]) & (root[at + 1 :] != root[at])
             if apart:
                 near &= block[at + 1 :] != block[at]
             u.append(np.full(int(near.sum()), cid[at]))
@@ -355,8 +363,8 @@ def _other_pairs(tables: DataFrame, roots: DataFrame) -> DataFrame:
 def similar_groups(docs: DataFrame, at_least: float = AT_LEAST) -> DataFrame:
     """doc_id, k1, k2 (hashes of the text) and root, equal for rows that links connect.
 
-    Candidates are texts of which one of three SimHashes of words is within 4 bits; the covering
-    tables miss no such pair. A candidate is a link if the Jaccard similarity of the two whole sets
+    Candidates are texts of which one of four SimHashes of their distinct words is within 4 bits,
+    of which the covering tables miss none, and whose SimHashes of word pairs are within 20. A candidate is a link if the Jaccard similarity of the two whole sets
     of five-word shingles is ``at_least`` or more. Pairs within a bucket that are already connected
     need no look; all others get one, however large the bucket.
     """
