@@ -1,9 +1,9 @@
 """Matching the lines of a page as truth has them with the lines a reader gave.
 
 Long tables are (engine, page_id, line_no, text); nothing joins across pages. ``align`` goes from
-what is cheap to what is dear: equal lines by a window, like lines by a join with bounded distances
+what is cheap to what is dear: equal lines by a window, like lines by blocks of distances
 and one ordered pass, lines that a reader merged by best windows, and last the cutting of merged
-lines. Only best windows and cuts need Python, for the few lines that come so far.
+lines. Equal lines never leave the JVM.
 """
 
 from __future__ import annotations
@@ -15,13 +15,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgauge.functions import text as tx
-from inkgauge.functions.edits import best_window, edit_distance, split_by_parts
+from inkgauge.functions.edits import best_window, edit_distance, like_pairs, split_by_parts
 from inkgauge.sources.staged import stage
 
 #: Least similarity of a pair; least score of a line inside a longer one and how much longer that is; least similarity of a merged line.
 THRESHOLD, WINDOW, LONGER, GROUP = 0.45, 80.0, 1.3, 0.7
 #: Characters from which on distances are counted by machine words instead of a band.
 LONG = 2048
+#: Lines of a page that are compared with as many others at once.
+BLOCK = 128
 PAGE = ["engine", "page_id"]
 
 
@@ -46,19 +48,27 @@ def text_similarity(a: Column, b: Column) -> Column:
     return F.when(longer == 0, 1.0).otherwise(1 - cheap_distance(a, b) / F.nullif(longer, F.lit(0)))
 
 
+def _blocks(lines: DataFrame, keys: list[str], most: int, name: str) -> DataFrame:
+    """Lines in blocks of at most ``most`` of a page: keys, ``name`` (the block's number), no and text (arrays)."""
+    place = (F.row_number().over(Window.partitionBy(*keys).orderBy("line_no")) - 1) / F.lit(most)
+    l = F.array_sort(F.collect_list(F.struct("line_no", "norm")))  # noqa: E741
+    got = lines.where("norm <> ''").select(*keys, F.col("line_no").cast("int").alias("line_no"), "norm", F.floor(place).cast("int").alias(name))
+    return got.groupBy(*keys, name).agg(l.alias("l")).select(*keys, name, F.transform("l", lambda x: x["line_no"]).alias("no"), F.transform("l", lambda x: x["norm"]).alias("text"))
+
+
 def candidates(truth: DataFrame, reads: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """engine, page_id, truth_no, read_no, similarity of all pairs of non-empty lines of a page at or above the threshold.
 
     ``truth`` has page_id, line_no, norm, or engine too if its lines differ by reader; ``reads`` has
-    engine. The similarity is at most the ratio of the lengths, so pairs of unlike lengths never
-    reach the distance.
+    engine. Blocks of lines meet, so a page of any length is spread over tasks and no pair is listed
+    before it is known to be alike.
     """
     keys = [c for c in PAGE if c in truth.columns]
-    t = truth.where("norm <> ''").select(*keys, F.col("line_no").alias("truth_no"), F.col("norm").alias("t"), F.length("norm").alias("tl"))
-    r = reads.where("norm <> ''").select(*PAGE, F.col("line_no").alias("read_no"), F.col("norm").alias("r"), F.length("norm").alias("rl"))
-    near = F.least("tl", "rl") >= F.lit(threshold) * F.greatest("tl", "rl")
-    met = t.join(r, keys).where(near).withColumn("similarity", 1 - any_distance(F.col("t"), F.col("r")) / F.greatest("tl", "rl"))
-    return met.where(F.col("similarity") >= threshold).select(*PAGE, "truth_no", "read_no", "similarity")
+    t, r = _blocks(truth, keys, BLOCK, "a"), _blocks(reads, PAGE, BLOCK, "b")
+    parts = t.groupBy(*keys).agg((F.max("a") + 1).alias("parts"))
+    spread = r.join(parts, keys).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*PAGE, "a", F.col("no").alias("rno"), F.col("text").alias("rtext"))
+    met = t.join(spread, [*keys, "a"])
+    return met.select(*PAGE, F.inline(like_pairs(F.col("no"), F.col("text"), F.col("rno"), F.col("rtext"), threshold)))
 
 
 def equal_pairs(truth: DataFrame, reads: DataFrame) -> DataFrame:
@@ -118,9 +128,12 @@ def best_first(pairs: DataFrame) -> DataFrame:
 
 def _settled(truth: DataFrame, reads: DataFrame) -> DataFrame:
     """engine, page_id, side (0 truth, 1 read), no, text, norm, mate: all lines that aren't blank, with the equal line of the other side."""
+    def side(df: DataFrame, k: int) -> DataFrame:
+        form = F.col("norm") if "norm" in df.columns else tx.normalize(F.col("text"))
+        return df.select(*[c for c in PAGE if c in df.columns], F.lit(k).alias("side"), F.col("line_no").cast("int").alias("no"), "text", form.alias("norm")).where("norm <> ''")
+
     engines = reads.select(*PAGE).distinct()
-    side = lambda df, k: df.select(*PAGE, F.lit(k).alias("side"), F.col("line_no").cast("int").alias("no"), "text", tx.normalize(F.col("text")).alias("norm")).where("norm <> ''")
-    lines = side(truth.join(engines, "page_id"), 0).unionByName(side(reads, 1)).repartition(*PAGE, "norm")
+    lines = side(truth, 0).join(engines, "page_id").unionByName(side(reads, 1)).repartition(*PAGE, "norm")
     ranked = lines.withColumn("k", F.row_number().over(Window.partitionBy(*PAGE, "norm", "side").orderBy(F.desc("no"))))
     same = Window.partitionBy(*PAGE, "norm", "k")
     other = F.max(F.when(F.col("side") == 1, F.col("no"))).over(same), F.max(F.when(F.col("side") == 0, F.col("no"))).over(same)
@@ -128,10 +141,15 @@ def _settled(truth: DataFrame, reads: DataFrame) -> DataFrame:
 
 
 def _holders(alone: DataFrame, reads: DataFrame) -> DataFrame:
-    """engine, page_id, truth_no, held: the longer read that best holds an unmatched truth line, the first of equals."""
-    met = alone.join(reads, PAGE).where(F.length("r") > LONGER * F.length("t"))
-    scored = met.withColumn("score", best_window(F.col("t"), F.col("r"), WINDOW)).where(F.col("score") > WINDOW)
-    best = scored.groupBy(*PAGE, "truth_no").agg(F.max(F.struct("score", (-F.col("read_no")).alias("first"))).alias("b"))
+    """engine, page_id, truth_no, held: the longer read that best holds an unmatched truth line, the first of equals.
+
+    A read that holds the line as it is has the best score there is, so windows are scored only for lines without one.
+    """
+    met = alone.join(reads, PAGE).where(F.length("r") > LONGER * F.length("t")).withColumn("whole", F.when(F.col("r").contains(F.col("t")), F.col("read_no")))
+    met = met.withColumn("first", F.min("whole").over(Window.partitionBy(*PAGE, "truth_no"))).where("first is null or whole = first")
+    loose = F.col("first").isNull()
+    scored = met.withColumn("score", F.when(loose, best_window(F.when(loose, F.col("t")), F.when(loose, F.col("r")), WINDOW)).otherwise(100.0))
+    best = scored.where(F.col("score") > WINDOW).groupBy(*PAGE, "truth_no").agg(F.max(F.struct("score", (-F.col("read_no")).alias("first"))).alias("b"))
     return best.select(*PAGE, "truth_no", (-F.col("b.first")).alias("held"))
 
 
@@ -186,8 +204,8 @@ def _cut(held: DataFrame, found: DataFrame, truth: DataFrame, reads: DataFrame)
 def align(truth: DataFrame, reads: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """engine, page_id, truth_no, read_no, truth, read: one row per truth line of each page an engine read, and per spurious read.
 
-    ``truth`` has page_id, line_no, text; ``reads`` has engine, page_id, line_no, text. read_no is
-    null for missed lines, truth_no for spurious ones. Lines that are blank in normal form take no
+    ``truth`` has page_id, line_no, text; ``reads`` has engine, page_id, line_no, text; a column norm
+    of either is taken for the normal form of its text. read_no is null for missed lines, truth_no for spurious ones. Lines that are blank in normal form take no
     part; neighbours are lines whose numbers follow each other. A page that an engine has no rows
     for gives no rows; ``with_missing`` adds them as missed. The lines and what is matched are staged.
     """

@@ -27,6 +27,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
 
 
+def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents over as many tasks as the session's shuffles have: their text work is dear for its bytes."""
+    return documents(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
 def _page() -> Column:
     return F.concat("source", F.lit("_p"), F.lpad(F.col("doc_id").cast("string"), 6, "0"))
 
@@ -37,7 +42,7 @@ def _text(raw: Column) -> Column:
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc, page_id, page_no, line_no, text, norm: the lines of every page. Dealt out by page before the text work."""
-    d = documents(spark, sf_dir).repartition("doc_id")
+    d = _dealt(spark, sf_dir)
     lines = d.select("source", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw"))
     return lines.select(F.col("source").alias("doc"), _page().alias("page_id"), F.col("doc_id").alias("page_no"), "line_no", _text(F.col("raw")).alias("text")).withColumn("norm", tx.normalize(F.col("text")))
 
@@ -47,7 +52,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A page's lines stand in one row while its readers are made up, so no reader scans for itself.
     """
-    d = documents(spark, sf_dir).repartition("doc_id")
+    d = _dealt(spark, sf_dir)
     raw = F.split(F.coalesce("text", F.lit("")), "\n")
     pages = d.select(F.col("source").alias("doc"), _page().alias("page_id"), F.col("doc_id").alias("page_no"), F.transform(raw, _text).alias("l"))
     line = lambda engine, no, text: F.struct(F.lit(engine).alias("engine"), no.cast("int").alias("line_no"), text.alias("text"))

@@ -89,6 +89,14 @@ def test_long_texts_are_halved(monkeypatch):
     assert edits.distance(a, b) == sum(max(a1 - a0, b1 - b0) for tag, a0, a1, b0, b1 in blocks if tag != "equal")
 
 
+def test_lines_side_by_side_have_the_same_distances():
+    rng = random.Random(9)
+    for _ in range(60):
+        texts = ["".join(rng.choices("abcก", k=rng.randint(1, 70))) for _ in range(rng.randint(1, 6))]
+        other = "".join(rng.choices("abcก", k=rng.randint(1, 70)))
+        assert edits.Lines(texts).distances(other).tolist() == [edits.distance(t, other) for t in texts]
+
+
 def test_scores(spark):
     from inkgauge.operators import score
 
