@@ -252,6 +252,19 @@ def test_run_log(spark, tmp_path):
     assert {r["started_at"]: r["rank"] for r in rollup.run_order(stamps).collect()} == {"a": 1, "b": 2, "c": 3}
 
 
+def test_runs_of_several_files_come_last_first(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    for k in (1, 2, 3, 4):
+        store.append_json(spark.createDataFrame([(f"2024-01-0{k}", k)], "started_at string, pages int"), path)
+    assert [r["pages"] for r in store.read_runs(spark, path).collect()] == [4, 3, 2, 1] and store.read_runs(spark, path, 1).first()["pages"] == 4
+
+
+def test_columns_of_the_users_stay(spark):
+    old = spark.createDataFrame([("a", 1, 7)], "k string, _rank int, _new int")
+    assert [tuple(r) for r in store.upsert(old, old.withColumn("_rank", F.lit(2)), ["k"]).collect()] == [("a", 2, 7)]
+    assert filters.by_priority(old, ["k"], F.col("_rank")).columns == old.columns
+
+
 def test_markdown_export(spark):
     pages = spark.createDataFrame([("d", "a", 1, "p1", ["ก"]), ("d", "a", 2, "p2", []), ("d", "a", 3, "p3", ["raw"])], "doc string, engine string, page_no int, page_id string, lines array<string>")
     edits = spark.createDataFrame([("p3", "a", "แก้แล้ว\n"), ("p1", "b", "x")], "page_id string, engine string, text string")
