@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from inkgauge.llm import exact, html, kneser, langid, lattice, mixing, packing, sharding, simhash, tokens
+from inkgauge.llm import exact, html, kneser, langid, lattice, mixing, packing, sharding, shingles, simhash, tokens
 from inkgauge.llm.components import connected_components
 from inkgauge.llm.encode import Encoder, vocabulary_path
 
@@ -414,6 +414,32 @@ def test_near_dedup_against_all_pairs_of_shingles(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(want.values()))
 
 
+def test_sketches_refuse_no_similar_pair(spark):
+    rng = np.random.default_rng(6)
+    sets = [np.zeros(0, np.uint64), *(rng.integers(0, 1 << 64, n, dtype=np.uint64) for n in (1, 5, 90, 900, 9000))]
+    sets += [np.concatenate((s[int(len(s) * c) :], rng.integers(0, 1 << 64, int(len(s) * d), dtype=np.uint64))) for s in sets for c in (0, 0.05, 0.1, 0.2, 0.4) for d in (0, 0.1, 0.25, 1)]
+    sets = [np.unique(s) for s in sets]
+    bits = np.array([np.frombuffer(shingles.sketch(s), np.uint64) for s in sets])
+    n = np.array([len(s) for s in sets])
+    a, b = np.triu_indices(len(sets))
+    may = shingles.may_reach(bits[a], n[a], bits[b], n[b], 0.8)
+    similar = np.array([shingles.similarity(sets[i], sets[j]) >= 0.8 for i, j in zip(a, b)])
+    assert may[similar].all() and not may[~similar].all()
+
+
+def test_pairs_are_judged_alike_over_any_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+    texts = {k: " ".join("new" if rng.random() < k % 9 / 200 else w for w in base) for k in range(60)} | {60: "", 61: " ", 62: "a b"}
+    sets = {k: shingles.shingle_set(t) for k, t in texts.items()}
+    pairs = [(a, b) for a in texts for b in texts if a < b]
+    docs = spark.createDataFrame([(k, k, -k, t) for k, t in texts.items()], "cid long, k1 long, k2 long, text string")
+    monkeypatch.setattr(shingles, "GROUP", 64)
+    found = shingles.links(spark.createDataFrame(pairs, "u long, v long"), docs.drop("text"), docs.drop("cid"))
+    want = {(a, b) for a, b in pairs if shingles.similarity(sets[a], sets[b]) >= 0.8}
+    assert 10 < len(want) < len(pairs) and sorted(tuple(sorted(r)) for r in found.collect()) == sorted(want)
+
+
 def test_vectors_against_all_pairs(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     data = [(r["vec_id"], list(r["embedding"]), r["label"]) for r in table.collect()]
