@@ -267,11 +267,12 @@ def _classes(rows: DataFrame) -> DataFrame:
 
 
 def _tables(classes: DataFrame) -> DataFrame:
-    """t, key, cid, fp, like: every class in every covering table of every seed."""
+    """t, key, cid, fp, like: every class in every covering table of every seed, and its root if it has one."""
     masks = [_signed(m) for m in covering_masks(RADIUS)]
-    fps = classes.select("cid", "like", F.posexplode("fps").alias("s", "fp"))
-    tables = fps.select("cid", "like", "s", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("m", "key"))
-    return tables.select((F.col("s") * len(masks) + F.col("m")).alias("t"), "key", "cid", "fp", "like")
+    more = [c for c in ("root",) if c in classes.columns]
+    fps = classes.select("cid", "like", *more, F.posexplode("fps").alias("s", "fp"))
+    tables = fps.select("cid", "like", *more, "s", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("m", "key"))
+    return tables.select((F.col("s") * len(masks) + F.col("m")).alias("t"), "key", "cid", "fp", "like", *more)
 
 
 def _near(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -304,8 +305,8 @@ def _first_pairs(starts: list[int], cid: np.ndarray, fp: np.ndarray, like: np.nd
     return np.minimum(u, v), np.maximum(u, v)
 
 
-def _candidate_pairs(tables: DataFrame) -> DataFrame:
-    """u, v: pairs of classes with a fingerprint within the radius, enough to span every bucket; staged."""
+def _candidate_pairs(tables: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """u, v: pairs of classes with a fingerprint within the radius, enough to span every bucket; t, key: buckets of more than PAIRS members; staged."""
     dealt = tables.repartition("t", "key").sortWithinPartitions("t", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,10 +321,13 @@ def _candidate_pairs(tables: DataFrame) -> DataFrame:
                 starts = [0, *new[new < last].tolist(), last]
                 u, v = _first_pairs(starts, cid[:last], fp[:last].view(np.uint64), like[:last].view(np.uint64))
                 both = np.unique(np.stack((u, v)), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["u", "v"])
+                large = [a for a, b in zip(starts, starts[1:]) if b - a > PAIRS]
+                bucket = pa.array(np.repeat([False, True], [both.shape[1], len(large)]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(both[0], t[large])), pa.array(np.append(both[1], key[large])), bucket], ["u", "v", "bucket"])
                 held = [h[last:] for h in held]
 
-    return stage(dealt.mapInArrow(run, "u long, v long").distinct(), "candidates")
+    found = stage(dealt.mapInArrow(run, "u long, v long, bucket boolean").distinct(), "candidates")
+    return found.where("not bucket").select("u", "v"), found.where("bucket").select(F.col("u").cast("int").alias("t"), F.col("v").alias("key"))
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -331,13 +335,13 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _other_pairs(tables: DataFrame, roots: DataFrame) -> DataFrame:
-    """u, v: all near pairs that share a bucket of more than PAIRS members but, so far, no component; staged.
+def _other_pairs(classes: DataFrame, roots: DataFrame, large: DataFrame) -> DataFrame:
+    """u, v: all near pairs that share a bucket of more than PAIRS members, as ``large`` names them, but, so far, no component; staged.
 
     Buckets whose members are in one component have none. Others are dealt out as pairs of blocks.
     """
-    placed = tables.join(roots, "cid")
-    mixed = placed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(f"n > {PAIRS} and lo <> hi")
+    placed = stage(_tables(classes.join(roots, "cid")).join(large, ["t", "key"]), "large-buckets")
+    mixed = placed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     open_buckets = stage(mixed.select("t", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open-buckets")
     rows = placed.join(open_buckets, ["t", "key"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -371,11 +375,11 @@ def similar_groups(docs: DataFrame, at_least: float = AT_LEAST) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(4), text).alias("k2"), text.alias("text"))
     classes = _classes(rows)
-    tables = _tables(classes)
-    found = links(_candidate_pairs(tables), classes, rows, at_least)
+    near, large = _candidate_pairs(_tables(classes))
+    found = links(near, classes, rows, at_least)
     named = lambda roots: classes.select("cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("root"))
     roots = connected_components(found)
-    more = _other_pairs(tables, stage(named(roots), "first-roots"))
+    more = _other_pairs(classes, stage(named(roots), "first-roots"), large)
     if not more.isEmpty():
         roots = connected_components(found.unionByName(links(more, classes, rows, at_least)))
     told = classes.select("cid", "k1", "k2").join(named(roots), "cid").select("k1", "k2", "root")
