@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from inkgauge.functions import edits
 from inkgauge.functions import text as tx
 from inkgauge.functions.edits import partial_ratio, similarity, split_read
 from inkgauge.operators import filters, layout, match, review, rollup, score, stability, suspect
@@ -339,3 +340,32 @@ def test_variants_are_marked_in_the_line(spark):
     rows = [("abcdef", ["abXdef", "aYYdef"]), ("a<b", ["a<b"]), ("abc", ["ac", "abc!"]), ("", ["x"]), ("ab", ["a&b"]), (None, ["x"])]
     got = [r["h"] for r in spark.createDataFrame(rows, "line string, others array<string>").coalesce(1).select(variants_html(F.col("line"), F.col("others")).alias("h")).collect()]
     assert got == ["a" + mark("YY", "bc") + "def", "a&lt;b", "a" + mark("(left out)", "b") + "c", "", "a" + mark("&amp;", "b"), None]
+
+
+def test_batches_have_the_same_distances():
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choices("กขคงab😀", k=n))
+    xs, ys = [word(rng.randint(1, 150)) for _ in range(120)], [word(rng.randint(1, 200)) for _ in range(120)]
+    assert edits.distances(xs, ys).tolist() == [edits.distance(x, y) for x, y in zip(xs, ys)]
+    assert edits.distances(xs, ys, True).tolist() == [edits._nearest(x, y)[0] for x, y in zip(xs, ys)]
+    held = [y[:20] + x + y[20:] for x, y in zip(xs, ys)]
+    for x, y, s in zip(xs + xs, ys + held, edits.windows(xs + xs, ys + held, 80.0)):
+        whole = edits.partial_ratio(x, y)
+        assert s == whole if whole > 80 else s <= 80
+
+
+def test_equal_texts_are_compared_once(monkeypatch):
+    asked = []
+    real = edits.distances
+    monkeypatch.setattr(edits, "distances", lambda xs, ys, inside=False: asked.extend(xs) or real(xs, ys, inside))
+    block = ([0, 1], ["กขค", "กขง"], [0, 1, 2], ["กขคง", "กขค", "ก" * 9])
+    first, second = edits.like_lines([block, block], 0.45)
+    assert sorted(first) == sorted(second) == [(0, 0, 0.75), (0, 1, 1.0), (1, 0, 0.75), (1, 1, 1 - 1 / 3)]
+    assert len(asked) == 4
+
+
+def test_normal_form_is_that_of_the_expressions(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choices(tx.MARKS + "กํา “–²  \x1c\x85a1\n", k=rng.randint(0, 12))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", tx.normalize(F.col("text")).alias("a"), edits.normal_form(F.col("text")).alias("b"), tx.has_text(F.col("text")).alias("any"))
+    assert rows.where("a <> b or any <> (a <> '')").count() == 0
