@@ -369,3 +369,18 @@ def test_normal_form_is_that_of_the_expressions(spark):
     texts = ["".join(rng.choices(tx.MARKS + "กํา “–²  \x1c\x85a1\n", k=rng.randint(0, 12))) for _ in range(3000)]
     rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", tx.normalize(F.col("text")).alias("a"), edits.normal_form(F.col("text")).alias("b"), tx.has_text(F.col("text")).alias("any"))
     assert rows.where("a <> b or any <> (a <> '')").count() == 0
+
+
+@pytest.mark.parametrize("gone, more, changed", [(0, 0, 5), (0, 9, 100), (900, 0, 40), (0, 700, 0), (400, 400, 900), (3000, 3000, 0)])
+def test_long_texts_are_compared_in_a_band(gone, more, changed, monkeypatch):
+    rng = random.Random(gone + more + changed)
+    word = lambda n: rng.choices("กขคงจฉชซab๑", k=n)
+    x, asked = word(9000), []
+    y = x[:2000] + word(more) + x[2000 + gone :]
+    for i in rng.sample(range(len(y)), changed):
+        y[i] = rng.choice("กขคง")
+    x, y = "".join(x), "".join(y)
+    whole = edits.distance
+    monkeypatch.setattr(edits, "distance", lambda a, b: asked.append(a) or whole(a, b))
+    assert edits.long_distance(x, y) == edits.long_distance(y, x) == whole(x, y)
+    assert more == 3000 or not any(len(a) > 4000 for a in asked)
