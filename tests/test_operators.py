@@ -384,3 +384,41 @@ def test_long_texts_are_compared_in_a_band(gone, more, changed, monkeypatch):
     monkeypatch.setattr(edits, "distance", lambda a, b: asked.append(a) or whole(a, b))
     assert edits.long_distance(x, y) == edits.long_distance(y, x) == whole(x, y)
     assert more == 3000 or not any(len(a) > 4000 for a in asked)
+
+
+def test_classes_are_counted_as_the_expressions_do(spark):
+    text = "".join(map(chr, [*range(1, 0xD800), 0x1F600, 0x20000])) + "กข๑๑๒ ab1"
+    native = spark.createDataFrame([(text[k : k + 997],) for k in range(0, len(text), 997)], "t string").select("t", F.array(*tx.class_counts(F.col("t"))).alias("n")).collect()
+    assert abs(edits.count_classes([r["t"] for r in native]) - [r["n"] for r in native]).sum() <= 2 * 1000  # letters that one side's version of Unicode lacks
+    usual = ["กa๑1ฯé !", text[0x0E00:0x0E80], ""]
+    rows = spark.createDataFrame([(t,) for t in usual], "t string").coalesce(1).select(F.array(*tx.class_counts(F.col("t"))).alias("n")).collect()
+    assert edits.count_classes(usual).tolist() == [r["n"] for r in rows]
+
+
+def test_scores_need_no_script_twice(spark, monkeypatch):
+    import pandas as pd
+
+    calls = []
+    monkeypatch.setattr(edits, "edit_blocks", lambda a, b, f=edits.edit_blocks: calls.append((a, b)) or f(a, b))
+    run = edits._pairwise(edits._digits)
+    got = run(pd.Series(["ก๑๒", "ก๑๒", "กข", None]), pd.Series(["ก๑2", "ก๑2", "กค", "ก"]))
+    assert list(got) == [(2, 1, 2, 2), (2, 1, 2, 2), (0, 0, 0, 0), None] and len(calls) == 1
+    assert edits.any_distances(["ab", None, "", "กข" * 2000, "ab"], ["ac", "x", "abc", "กข" * 1999 + "กx", "ac"]) == [1, None, 3, 1, 1]
+
+
+def test_forms_that_matching_knows_are_not_made_again(spark):
+    t, r = lines(spark, {"p": WRAPPED, "q": ["ก"]}), lines(spark, {"p": ["".join(WRAPPED), "ลายน้ำ"]}, "a")
+    engines = spark.createDataFrame([("a",)], "engine string")
+    plain, known = (match.with_missing(match.align(t, r, forms=f), t, engines) for f in (False, True))
+    key = lambda df: sorted((tuple(x) for x in score.compared(df).select("page_id", "truth_no", "read_no", "t", "p").collect()), key=str)
+    assert key(plain) == key(known) and {"t", "p"} <= set(known.columns) and not {"t", "p"} & set(plain.columns)
+
+
+def test_a_scan_reads_its_lines_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    note = F.udf(lambda x: seen.add(1) or x)
+    rows = [(e, "d_p1", k, f"ข้อ {d} ให้ใช้", (1, 2, 3, 4)) for e, d in (("typ", "๗"), ("tes-a", "๒"), ("pad-a", "๒")) for k in range(2)]
+    df = spark.createDataFrame(rows, "engine string, page_id string, line_no int, text string, box struct<x:int,y:int,w:int,h:int>").withColumn("text", note("text"))
+    docs = spark.createDataFrame([(e, "d_p1", False) for e in ("typ", "tes-a", "pad-a")], "engine string, page_id string, thai_doc boolean")
+    suspect.scan(df, docs).collect()
+    assert seen.value == len(rows)
