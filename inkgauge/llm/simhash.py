@@ -15,12 +15,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgauge.llm.columns import without
 from inkgauge.llm.components import connected_components
-from inkgauge.llm.shingles import AT_LEAST, links
+from inkgauge.llm.shingles import AT_LEAST, links, may_reach, shingle_set, sketch
 from inkgauge.llm.staging import stage
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -254,25 +254,38 @@ def word_fingerprints(text: str | None) -> list[int]:
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """cid, k1, k2, fps and like (the fingerprint of word pairs) of each distinct text, staged; two 64-bit hashes tell texts apart."""
+    """cid, k1, k2, fps, like (the fingerprint of word pairs), n and bits (the sketch of its shingle set) of each distinct text, staged; two 64-bit hashes tell texts apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [word_fingerprints(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(fps, pa.list_(pa.int64()))], ["k1", "k2", "fps"])
-
-    made = stage(rows.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, fps array<long>"), "word-fingerprints")
-    each = made.groupBy("k1", "k2").agg(F.first("fps").alias("fps")).select("k1", "k2", F.slice("fps", 1, SEEDS).alias("fps"), F.element_at("fps", SEEDS + 1).alias("like"))
+            fps, sizes, bits = [], [], []
+            for text in batch.column("text"):
+                fps.append(word_fingerprints(text := text.as_py()))
+                members = shingle_set(text)
+                sizes.append(len(members))
+                bits.append(sketch(members))
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(fps, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], ["k1", "k2", "fps", "n", "bits"])
+
+    made = stage(rows.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, fps array<long>, n long, bits binary"), "word-fingerprints")
+    each = made.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in ("fps", "n", "bits")])
+    each = each.select("k1", "k2", F.slice("fps", 1, SEEDS).alias("fps"), F.element_at("fps", SEEDS + 1).alias("like"), "n", "bits")
     return stage(each.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
 
+_MASKS = [_signed(m) for m in covering_masks(RADIUS)]
+
+
+def _key() -> Column:
+    """A row's bucket in its table: it follows from the fingerprint, so it need not travel."""
+    return F.col("fp").bitwiseAND(F.get(F.array(*map(F.lit, _MASKS)), F.col("t") % len(_MASKS)))
+
+
 def _tables(classes: DataFrame) -> DataFrame:
-    """t, key, cid, fp, like: every class in every covering table of every seed, and its root if it has one."""
-    masks = [_signed(m) for m in covering_masks(RADIUS)]
-    more = [c for c in ("root",) if c in classes.columns]
+    """t, cid, fp, like: every class in every covering table of every seed, and its root and fps if it has a root."""
+    more = ["root", "fps"] if "root" in classes.columns else []
     fps = classes.select("cid", "like", *more, F.posexplode("fps").alias("s", "fp"))
-    tables = fps.select("cid", "like", *more, "s", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("m", "key"))
-    return tables.select((F.col("s") * len(masks) + F.col("m")).alias("t"), "key", "cid", "fp", "like", *more)
+    tables = fps.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(len(_MASKS) - 1))))
+    return tables.select((F.col("s") * len(_MASKS) + F.col("m")).alias("t"), "cid", "fp", "like", *more)
 
 
 def _near(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -307,7 +320,7 @@ def _first_pairs(starts: list[int], cid: np.ndarray, fp: np.ndarray, like: np.nd
 
 def _candidate_pairs(tables: DataFrame) -> tuple[DataFrame, DataFrame]:
     """u, v: pairs of classes with a fingerprint within the radius, enough to span every bucket; t, key: buckets of more than PAIRS members; staged."""
-    dealt = tables.repartition("t", "key").sortWithinPartitions("t", "key")
+    dealt = tables.repartition("t", _key()).select("t", _key().alias("key"), "cid", "fp", "like").sortWithinPartitions("t", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 5
@@ -335,29 +348,51 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _other_pairs(classes: DataFrame, roots: DataFrame, large: DataFrame) -> DataFrame:
-    """u, v: all near pairs that share a bucket of more than PAIRS members, as ``large`` names them, but, so far, no component; staged.
+def _met_before(t: int, mine: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of ``others`` (fingerprints under each seed, a row each) share a bucket with ``mine`` within the radius in a table before ``t``."""
+    differ = others ^ mine
+    near = np.bitwise_count(differ) <= RADIUS
+    met = np.zeros(len(others), bool)
+    for s in range(t // len(_MASKS) + 1):
+        if not near[:, s].any():
+            continue
+        masks = np.array(_MASKS if s < t // len(_MASKS) else _MASKS[: t % len(_MASKS)], np.int64).view(np.uint64)
+        rows = np.flatnonzero(near[:, s] & ~met)
+        met[rows] = (differ[rows, s, None] & masks == 0).any(axis=1)
+    return met
+
+
+def _other_pairs(classes: DataFrame, roots: DataFrame, large: DataFrame, at_least: float) -> DataFrame:
+    """u, v: all near pairs whose sketches allow ``at_least`` and that share a bucket of more than PAIRS members, as ``large`` names them, but, so far, no component; staged.
 
     Buckets whose members are in one component have none. Others are dealt out as pairs of blocks.
+    A pair is judged in the first table where it meets: were it there in a small bucket, the first
+    pass would have judged it, and were that bucket in one component, so would be the pair.
     """
-    placed = stage(_tables(classes.join(roots, "cid")).join(large, ["t", "key"]), "large-buckets")
+    placed = _tables(classes.join(roots, "cid")).withColumn("key", _key()).join(large, ["t", "key"])
+    placed = stage(placed, "large-buckets")
     mixed = placed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     open_buckets = stage(mixed.select("t", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open-buckets")
     rows = placed.join(open_buckets, ["t", "key"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.join(classes.select("cid", "n", "bits"), "cid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keys = ["t", "key", "b1", "b2"]
-    rows = rows.select("t", "key", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "cid", "fp", "like", "root")
+    rows = rows.select("t", "key", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "cid", "fp", "like", "root", "fps", "n", "bits")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        cid, fp, like, root, block = (table[c].to_numpy() for c in ("cid", "fp", "like", "root", "block"))
+        cid, fp, like, root, block, n = (table[c].to_numpy() for c in ("cid", "fp", "like", "root", "block", "n"))
+        fps = table["fps"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(cid), SEEDS)
+        sketches = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(cid), -1)
         bits, pairs, u, v = fp.view(np.uint64), like.view(np.uint64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        apart = key[2].as_py() != key[3].as_py()
+        t, apart = key[0].as_py(), key[2].as_py() != key[3].as_py()
         for at in range(len(cid)):
             near = _near(bits[at + 1 :], bits[at], pairs[at + 1 :], pairs[at]) & (root[at + 1 :] != root[at])
             if apart:
                 near &= block[at + 1 :] != block[at]
-            u.append(np.full(int(near.sum()), cid[at]))
-            v.append(cid[at + 1 :][near])
+            near = np.flatnonzero(near) + at + 1
+            near = near[~_met_before(t, fps[at], fps[near])]
+            near = near[may_reach(sketches[at : at + 1], n[at : at + 1], sketches[near], n[near], at_least)]
+            u.append(np.full(len(near), cid[at]))
+            v.append(cid[near])
         u, v = np.concatenate(u), np.concatenate(v)
         return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
@@ -379,7 +414,7 @@ def similar_groups(docs: DataFrame, at_least: float = AT_LEAST) -> DataFrame:
     found = links(near, classes, rows, at_least)
     named = lambda roots: classes.select("cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("root"))
     roots = connected_components(found)
-    more = _other_pairs(classes, stage(named(roots), "first-roots"), large)
+    more = _other_pairs(classes, stage(named(roots), "first-roots"), large, at_least)
     if not more.isEmpty():
         roots = connected_components(found.unionByName(links(more, classes, rows, at_least)))
     told = classes.select("cid", "k1", "k2").join(named(roots), "cid").select("k1", "k2", "root")

@@ -588,3 +588,27 @@ def test_pipeline(spark, sf_dir, documents):
     got = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
     check_packing(got, [(r["doc_id"], r["text"]) for r in docs.collect()])
     assert len(corpus_pipeline.run(spark, sf_dir).collect()) == len(got)
+
+
+def test_pairs_of_a_large_bucket_are_listed_once_and_only_if_they_may_be_similar(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(150)]
+    data = [" ".join(base), *(" ".join(rng.sample(base, 150)) for _ in range(60))]  # the same words in other orders
+    data += [" ".join("new" if i == k else w for i, w in enumerate(base)) for k in range(20, 26)] + [" ".join([*data[9].split()[:-1], "z"])]
+    monkeypatch.setattr(simhash, "ALIKE", 64)
+    rows = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string").select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(4), "text").alias("k2"), "text")
+    classes = simhash._classes(rows)
+    near, large = simhash._candidate_pairs(simhash._tables(classes))
+    alone = classes.select("cid", F.col("cid").alias("root"))  # as if nothing were connected yet
+    sets = {r["cid"]: shingles.shingle_set(r["text"]) for r in classes.join(rows, ["k1", "k2"]).select("cid", "text").collect()}
+    more = simhash._other_pairs(classes, alone, large, 0.8).collect()
+    want = {(a, b) for a in sets for b in sets if a < b and shingles.similarity(sets[a], sets[b]) >= 0.8}
+    found = {(r["u"], r["v"]) for r in more}
+    assert large.count() and len(more) == len(found) and want <= found | {(r["u"], r["v"]) for r in near.collect()} and len(found) < 100 < len(data) ** 2 // 2
+
+
+def test_only_asked_texts_travel(spark):
+    docs = spark.range(4000).select(F.xxhash64("id").alias("k1"), F.xxhash64(F.lit(4), "id").alias("k2"), F.col("id").cast("string").alias("text"))
+    asked = docs.where("cast(text as long) % 40 = 7").select("k1", "k2")
+    kept = shingles._asked_rows(docs, asked)
+    assert kept.join(asked, ["k1", "k2"]).count() == 100 and kept.count() < 110
