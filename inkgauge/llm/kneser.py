@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkgauge.llm.columns import without
-from inkgauge.llm.staging import new_path, stage
+from inkgauge.llm.staging import new_path, stage, stage_alone
 
 ORDER = 5
 QUANTILE = 0.99
@@ -280,7 +280,7 @@ def block_scores(blocks: DataFrame, orders: list[Order]) -> DataFrame:
         out = pd.DataFrame({"doc_id": pd.array([None if pd.isna(x) else int(x) for x in row["doc_id"]], "Int64"), "lang": list(row["lang"]), "tag": row["tag"], "n_chars": n, "mean": mean, "score": score})
         return out.astype({"mean": object, "score": object}).where(out["n_chars"] > 0, out.assign(mean=None, score=None)) if (n == 0).any() else out
 
-    return stage(blocks.select("bid", "doc_id", "lang", "tag", "sizes", "payload").groupBy("bid").cogroup(answers.groupBy("to")).applyInPandas(run, schema), "scores")
+    return blocks.select("bid", "doc_id", "lang", "tag", "sizes", "payload").groupBy("bid").cogroup(answers.groupBy("to")).applyInPandas(run, schema)
 
 
 def language_thresholds(judged: DataFrame, quantile: float = QUANTILE, least: int = MIN_JUDGED) -> tuple[DataFrame, DataFrame]:
@@ -310,12 +310,16 @@ def quality_report(docs: DataFrame, labels: DataFrame, order: int = ORDER, quant
     don't make it trusted.
     """
     name = f"blocks_{uuid.uuid4().hex}"
-    blocks = document_blocks(docs, order, name)
     trusted = stage(trusted_ids(labels), "trusted")
+
+    def scored() -> DataFrame:
+        blocks = document_blocks(docs, order, name)
+        return block_scores(blocks, model(gram_counts(blocks, trusted, order), order))
+
     try:
-        scores = block_scores(blocks, model(gram_counts(blocks, trusted, order), order))
+        scores, _ = stage_alone(scored, docs.sparkSession, "scores")  # blocks, counts and probabilities go when it is written
     finally:
-        docs.sparkSession.sql(f"drop table {name}")  # the catalog's entry; what was read of it is staged
+        docs.sparkSession.sql(f"drop table if exists {name}")  # the catalog's entry
     judged = scores.join(trusted.where("not train"), "doc_id", "left_semi").where("score is not null")
     thresholds, overall = language_thresholds(judged, quantile)
     rows = scores.join(thresholds, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(F.broadcast(overall))  # one row

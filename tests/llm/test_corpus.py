@@ -612,3 +612,28 @@ def test_only_asked_texts_travel(spark):
     asked = docs.where("cast(text as long) % 40 = 7").select("k1", "k2")
     kept = shingles._asked_rows(docs, asked)
     assert kept.join(asked, ["k1", "k2"]).count() == 100 and kept.count() < 110
+
+
+def test_a_family_of_large_buckets_stands_once_not_once_a_table(spark):
+    base = [f"w{k}" for k in range(300)]
+    data = [" ".join("new" if i == k else w for i, w in enumerate(base)) for k in range(0, 300, 10)] + ["quite another text"]
+    rows = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string").select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(4), "text").alias("k2"), "text")
+    classes = simhash._classes(rows)
+    near, large = simhash._candidate_pairs(simhash._tables(classes))
+    families = connected_components(large).collect()
+    assert large.columns == ["u", "v"] and large.subtract(near).isEmpty()
+    assert len(families) == len({r["node"] for r in families}) == len(data) - 1 and len({r["root"] for r in families}) == 1
+
+
+def test_staged_tables_leave_no_shuffle_files_and_quality_no_blocks(spark, documents, sf_dir, tmp_path):
+    from pathlib import Path
+
+    from inkgauge.llm.staging import shared_folder, stage
+
+    manager, folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), Path(shared_folder(spark).removeprefix("file://"))
+    shuffles = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = shuffles()
+    assert stage(spark.range(1000).groupBy(F.col("id") % 7).count(), "counted").count() == 7 and not [f for f in shuffles() - before if f.endswith(".data")][1:]  # that of count() itself may be there
+    there = {p.name for p in folder.iterdir()}
+    assert kneser.quality_report(documents, spark.read.parquet(f"{sf_dir}/labels.parquet")).count() == documents.count()
+    assert {p.name.split("-")[0] for p in folder.iterdir() if p.name not in there} == {"trusted", "scores"}
