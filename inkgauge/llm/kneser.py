@@ -36,7 +36,7 @@ BLOCK_CHARS, SEGMENT_CHARS = 12_000_000, 500_000
 COMMON = 1 << 18
 
 _START = "\x02"
-_STEP, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
+_STEP, _TURN, _NEAR = np.uint64(0x9E3779B97F4A7C15), np.uint64(29), np.uint64(44)
 BLOCKS = "bid long, doc_id array<long>, lang array<string>, tag array<long>, sizes array<long>, payload binary, grams array<string>"
 
 
@@ -47,7 +47,8 @@ def _mixed(columns: list[np.ndarray]) -> np.ndarray:
     """
     out = np.zeros(len(columns[0]), np.uint64)
     for c in columns:
-        out = (out ^ c) * _STEP
+        out ^= c
+        out *= _STEP
         out ^= out >> _TURN
     return out
 
@@ -81,26 +82,56 @@ def _segments(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+def _first_places(found: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """A place in ``found`` of each of ``wanted``, which are sorted, distinct and all there; only those that share 20 bits with one are sorted."""
+    near = np.zeros(1 << 20, bool)
+    near[wanted >> _NEAR] = True
+    places = np.flatnonzero(near[found >> _NEAR])
+    values = found[places]
+    by = np.argsort(values)
+    return places[by[np.searchsorted(values, wanted, sorter=by)]]
+
+
 def _counted(texts: list[str], order: int) -> tuple[list[str], np.ndarray]:
     """The distinct n-grams of any number of texts, with counts, a segment at a time; only n-grams that are new are cut out."""
     hashes, counts, grams = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
     for a, b in _segments(texts):
         joined, start, found, _ = _windows(texts[a:b], order)
-        h, first, c = np.unique(found, return_index=True, return_counts=True)
+        h, c = np.unique(found, return_counts=True)  # without places it needs no stable sort
         at = np.searchsorted(hashes, h)
         known = np.zeros(len(h), bool)
         inside = at < len(hashes)
         known[inside] = hashes[at[inside]] == h[inside]
         counts[at[known]] += c[known]
-        new = np.array([joined[i : i + order] for i in start[first[~known]].tolist()], object)
+        new = np.array([joined[i : i + order] for i in start[_first_places(found, h[~known])].tolist()], object)
         hashes, counts, grams = (np.insert(old, at[~known], more) for old, more in ((hashes, h[~known]), (counts, c[~known]), (grams, new)))
     return grams.tolist(), counts
 
 
-def _open(payload: bytes, sizes: np.ndarray) -> list[str]:
+class _Places:
+    """Where values stand among sorted distinct keys: the first key of a value's leading bits, then on while keys are smaller."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        bits = max(len(keys), 1).bit_length() + 1
+        self.keys = np.append(keys, np.uint64(2**64 - 1))
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        """``np.searchsorted(keys, values)``."""
+        at = self.first[values >> self.shift]
+        left = np.flatnonzero(self.keys[at] < values)
+        while len(left):
+            at[left] += 1
+            left = left[self.keys[at[left]] < values[left]]
+        return at
+
+
+def _open(payload: bytes, sizes: np.ndarray, asked: list[int] | None = None) -> list[str]:
+    """The texts of a block, all of them or those asked for."""
     data = zstandard.ZstdDecompressor().decompress(payload)
-    ends = np.cumsum(sizes).tolist()
-    return [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *ends], ends)]
+    ends = [0, *np.cumsum(sizes).tolist()]
+    return [data[ends[i] : ends[i + 1]].decode("utf-8", "surrogatepass") for i in (range(len(sizes)) if asked is None else asked)]
 
 
 def document_blocks(docs: DataFrame, order: int = ORDER, name: str | None = None) -> DataFrame:
@@ -153,8 +184,8 @@ def gram_counts(blocks: DataFrame, trusted: DataFrame, order: int = ORDER) -> Da
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         grams, counts = [], np.zeros(0, np.int64)
         if left.num_rows and right.num_rows:
-            texts = _open(left["payload"][0].as_py(), np.array(left["sizes"][0].as_py(), np.int64))
-            grams, counts = _counted([texts[i] for i in right["pos"].to_pylist()], order)
+            texts = _open(left["payload"][0].as_py(), np.array(left["sizes"][0].as_py(), np.int64), right["pos"].to_pylist())
+            grams, counts = _counted(texts, order)
         return pa.table({"g": pa.array(grams, pa.string()), "c": pa.array(counts, pa.int64())})
 
     parts = blocks.select("bid", "sizes", "payload").groupBy("bid").cogroup(places.groupBy("in")).applyInArrow(run, "g string, c long")
@@ -228,10 +259,10 @@ def _keys(grams: list[str], order: int) -> np.ndarray:
     return _mixed([codes[:, k].astype(np.uint64) for k in range(order)])
 
 
-def _sorted(grams: list[str], logp: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+def _sorted(grams: list[str], logp: np.ndarray, order: int) -> tuple[_Places, np.ndarray]:
     keys = _keys(grams, order)
     by = np.argsort(keys)
-    return keys[by], np.asarray(logp, np.float64)[by]
+    return _Places(keys[by]), np.asarray(logp, np.float64)[by]
 
 
 def block_scores(blocks: DataFrame, orders: list[Order]) -> DataFrame:
@@ -258,12 +289,12 @@ def block_scores(blocks: DataFrame, orders: list[Order]) -> DataFrame:
         def look(hashes: np.ndarray) -> np.ndarray:
             out = np.zeros(len(hashes))
             there = np.zeros(len(hashes), bool)
-            if len(common):
-                at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-                there = common[at] == hashes
+            if len(common_logp):
+                at = np.minimum(common(hashes), len(common_logp) - 1)
+                there = common.keys[at] == hashes
                 out[there] = common_logp[at[there]]
             if not there.all():
-                out[~there] = logp[np.searchsorted(keys, hashes[~there])]
+                out[~there] = logp[keys(hashes[~there])]
             return out
 
         total, square = np.zeros(len(texts)), np.zeros(len(texts))
