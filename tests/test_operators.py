@@ -334,6 +334,15 @@ def test_all_readers_are_scored_by_matching(spark, monkeypatch):
     assert queries.matched_leaders(spark, "").first()["best_recall"] == "gamma-x"
 
 
+def test_page_error_rates_have_every_reader(spark, monkeypatch):
+    from inkgauge.plans import queries, reads as made
+
+    monkeypatch.setattr(made, "truth", lambda *_: lines(spark, {"p": WRAPPED}))
+    monkeypatch.setattr(made, "reads", lambda *_: lines(spark, {"p": WRAPPED}, "alpha").unionByName(lines(spark, {"p": ["".join(WRAPPED)]}, "gamma-x")).unionByName(lines(spark, {"p": [*WRAPPED, "กข"]}, "beta")))
+    assert {r["engine"]: r["page_edits"] for r in queries.page_error_rates(spark, "").collect()} == {"alpha": 0, "beta": 2, "gamma-x": 0}
+    assert "engine = 'beta'" not in queries.SQL["page_error_rates"].split("t as (select page_id")[1]
+
+
 def test_histories_and_repairs_take_whole_texts(spark, tmp_path, monkeypatch):
     from inkgauge.plans import queries, reads as made
 
