@@ -109,6 +109,22 @@ def test_align_against_plain_pages(spark):
     assert got == {p: plain_align(truth[p], read[p]) for p in truth}
 
 
+def test_usual_pages_are_matched_without_staging_and_as_long_ones(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda lo, hi: "".join(rng.choices("กขคงจฉ ", k=rng.randint(lo, hi)))
+    truth = {f"p{k}": [word(0, 12) for _ in range(7)] for k in range(12)}
+    read = {e: {p: [*ls[:2], "".join(ls[2:5]), *ls[5:], word(1, 30)][: len(p + e)] for p, ls in truth.items() if (p, e) != ("p3", "b")} for e in ("a", "b", "c-1")}
+    read["b"]["q"] = ["กข"]
+    t, r = lines(spark, truth), lines(spark, read["a"], "a").unionByName(lines(spark, read["b"], "b")).unionByName(lines(spark, read["c-1"], "c-1"))
+    staged, real = [], match.stage
+    monkeypatch.setattr(match, "stage", lambda df, label: staged.append(label) or real(df, label))
+    rows = lambda: sorted((tuple(x) for x in score.compared(match.align(t, r, forms=True, readers=["a", "b", "c-1", "d"])).collect()), key=str)
+    whole = rows()
+    assert staged == ["long"] and {x[:2] for x in whole} >= {("d", "p0"), ("b", "p3"), ("b", "q")}
+    monkeypatch.setattr(match, "LONG", 0)
+    assert rows() == whole and len(staged) > 2
+
+
 def test_unread_lines_have_a_cer_of_one(spark):
     got = match.per_truth_line(aligned(spark, ["กขคง", "จฉช"], ["กขคข"])).orderBy("truth_no").collect()
     assert [(r["truth_no"], r["cer"]) for r in got] == [(0, 0.25), (1, 1.0)]
